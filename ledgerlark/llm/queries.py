@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm import exact_dedup, line_dedup, packing, sentencepieces, url_filters
+from ledgerlark.llm import exact_dedup, language_id, licenses, line_dedup, media, near_dups, packing, quality, sentencepieces, url_filters
 from ledgerlark.llm.common import table
 
 
@@ -15,6 +15,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(licenses.as_files(table(spark, sf_dir, "documents")))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
@@ -28,6 +32,22 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(media.store(table(spark, sf_dir, "documents")))
+
+
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.groups(table(spark, sf_dir, "documents"), near_dups.Policy(words=2))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate_once(table(spark, sf_dir, "documents"))
 
@@ -36,7 +56,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode_documents(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_line_dedup, op4_url_filters, op9_exact_dedup, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_packing, op3_line_dedup, op4_url_filters, op5_media, op6_near_dedup, op7_quality, op8_language_id, op9_exact_dedup, op10_sentencepiece)}
 
 ORACLE_SQL = {
     "op3_line_dedup": r"""
