@@ -5,7 +5,8 @@
    least set of its buckets. Of the candidates, those whose similarity is estimated (jointly, by likelihood) far below the
    threshold go; the rest are verified on their full sets.
 3. Only buckets that still hold several components need more: there every set outside the bucket's largest component is compared with all
-   sets of other components, block against block, on registers; survivors are verified. Blocks bound what one task holds.
+   sets of other components, block against block, by counting common shingles on 32 bits of each (never too few); what is left is
+   verified. Blocks are bounded by their shingles, so they bound what one task holds.
 4. Components come from star rounds over verified links. No link, set or component reaches the driver.
 
 With 40 bands of 6 registers, a pair of similarity 0.8 shares no bucket with probability 5e-6.
@@ -19,7 +20,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +29,8 @@ from ledgerlark.llm.common import fresh, short_batches, texts, written
 from ledgerlark.llm.graph import components
 
 BANDS, ROWS = 40, 6
-#: Rows of a block when buckets are compared in blocks.
-BLOCK = 512
+#: Shingles of a block when buckets are compared in blocks; a larger set is a block of its own.
+BLOCK = 200_000
 #: Texts whose sets and sketches are computed together, in characters.
 TOGETHER = 1_000_000
 
@@ -110,35 +110,83 @@ def verified(pairs: DataFrame, sets: DataFrame, whole: DataFrame, policy: Policy
 def _blocks(rows: DataFrame) -> DataFrame:
     """Pairs of blocks to be compared: sets outside their bucket's largest component against all sets of the bucket.
 
-    rows: bucket, id, component. Returns bucket, i, j, first, id, component.
+    rows: bucket, id, n, component. Returns bucket, i, j, first, id, n, component.
     """
-    per = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    top = per.groupBy("bucket").agg(F.max(F.struct("n", F.col("component").alias("c"))).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds"))
+    per = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("n"))
+    largest = F.max(F.struct("sets", "n", F.col("component").alias("c")))
+    top = per.groupBy("bucket").agg(largest.alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds"))
     top = top.filter("kinds > 1").select("bucket", F.col("top.c").alias("largest"), F.col("all"), (F.col("all") - F.col("top.n")).alias("rest"))
     rows = rows.join(top, "bucket")
     rest_blocks, all_blocks = F.ceil(F.col("rest") / BLOCK).cast("int"), F.ceil(F.col("all") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), F.lit(2**31 - 1))
-    first = rows.filter("component <> largest").select("bucket", F.pmod(own, rest_blocks).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), all_blocks - 1)).alias("j"), F.lit(True).alias("first"), "id", "component")
-    second = rows.select("bucket", F.explode(F.sequence(F.lit(0), rest_blocks - 1)).alias("i"), F.pmod(own, all_blocks).cast("int").alias("j"), F.lit(False).alias("first"), "id", "component")
+    first = rows.filter("component <> largest").select("bucket", F.pmod(own, rest_blocks).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), all_blocks - 1)).alias("j"), F.lit(True).alias("first"), "id", "n", "component")
+    second = rows.select("bucket", F.explode(F.sequence(F.lit(0), rest_blocks - 1)).alias("i"), F.pmod(own, all_blocks).cast("int").alias("j"), F.lit(False).alias("first"), "id", "n", "component")
     return first.unionByName(second)
 
 
-def _compare_blocks(cut: float, percent: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = rows[rows["first"]], rows[~rows["first"]]
-        out: list[tuple[int, int]] = []
-        if len(a) and len(b):
-            right = np.frombuffer(b"".join(b["registers"]), "<u2").reshape(-1, shingles.REGISTERS)
-            ids, own, n2 = (b[k].to_numpy() for k in ("id", "component", "n"))
-            for i, c, n, r in zip(a["id"], a["component"], a["n"], a["registers"], strict=True):
-                at = np.flatnonzero((own != c) & (100 * np.minimum(n, n2) >= percent * np.maximum(n, n2)))
-                if len(at):
-                    left = np.frombuffer(r, "<u2")[None, :]
-                    near = at[shingles.compare(np.broadcast_to(left, (len(at), shingles.REGISTERS)), right[at], np.full(len(at), n), n2[at]) >= cut]
-                    out += [(min(i, o), max(i, o)) for o in ids[near].tolist()]
-        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+def short_members(whole: DataFrame, words: int) -> DataFrame:
+    """id, members: 32 bits of each shingle of a text."""
+    from ledgerlark.llm.media import runs
+
+    def run(batches):
+        for batch in batches:
+            ids, some = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for a, b in runs([len(t) for t in some], TOGETHER):
+                members = [(s >> np.uint64(32)).astype("<u4").tobytes() for s in shingles.shingle_sets(some[a:b], words)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array(members, pa.binary())], names=["id", "members"])
+
+    return whole.select("id", "text").mapInArrow(run, "id long, members binary")
+
+
+def _compare_block(rows: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """(u, v) of different components whose sets may be similar enough: each first row against the others."""
+    first = rows["first"].to_numpy()
+    ids, n, own = (rows[k].to_numpy() for k in ("id", "n", "component"))
+    members = rows["members"].to_pylist()
+    left, right = np.flatnonzero(first), np.flatnonzero(~first)
+    if not len(left) or not len(right):
+        return []
+    tokens = np.frombuffer(b"".join([members[k] for k in right]), "<u4")
+    order = np.argsort(tokens, kind="stable")
+    tokens, holder = tokens[order], np.repeat(np.arange(len(right)), [len(members[k]) // 4 for k in right])[order]
+    out = []
+    for k in left.tolist():
+        mine = np.frombuffer(members[k], "<u4")
+        begin, end = np.searchsorted(tokens, mine, "left"), np.searchsorted(tokens, mine, "right")
+        many = end - begin
+        at = np.repeat(begin - np.cumsum(many) + many, many) + np.arange(many.sum())
+        common = np.bincount(holder[at], minlength=len(right))
+        near = (own[right] != own[k]) & (100 * common >= percent * (n[k] + n[right] - common))
+        out += [(min(int(ids[k]), o), max(int(ids[k]), o)) for o in ids[right[near]].tolist()]
+    return out
+
+
+def compared(blocks: DataFrame, percent: int) -> DataFrame:
+    """u, v of all block pairs: rows of a block lie together, and are compared once its last row has come."""
+    columns = ["bucket", "i", "j", "first", "id", "n", "component", "members"]
+
+    def pairs(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        found = _compare_block(pa.Table.from_batches(parts), percent)
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
-    return run
+    def run(batches):
+        key, parts = None, []
+        for batch in batches:
+            keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if b > a:
+                    now = tuple(keys[:, a].tolist())
+                    if parts and now != key:
+                        yield pairs(parts)
+                        parts = []
+                    key = now
+                    parts.append(batch.slice(a, b - a))
+        if parts:
+            yield pairs(parts)
+
+    dealt = blocks.select(*columns).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
 def groups(docs: DataFrame, policy: Policy = Policy()) -> DataFrame:
@@ -157,9 +205,9 @@ def groups(docs: DataFrame, policy: Policy = Policy()) -> DataFrame:
     found = _joined(candidates.select("id", F.col("id").alias("component")), verified(nearest, sets, whole, policy))
     stars = members.filter("id > centre").select(F.col("centre").alias("u"), F.col("id").alias("v")).distinct()
     found = _joined(found, verified(_apart(stars, found), sets, whole, policy))
-    blocks = _blocks(members.select("bucket", "id").join(found, "id")).join(sets.select("id", "n", "registers"), "id")
-    compared = blocks.groupBy("bucket", "i", "j").applyInPandas(_compare_blocks(policy.percent / 100 - policy.slack, policy.percent), "u long, v long")
-    found = _joined(found, verified(written(compared.distinct(), "compared"), sets, whole, policy, estimated=True))
+    sized = members.select("bucket", "id").join(found, "id").join(sets.select("id", "n"), "id")
+    blocks = _blocks(sized).join(short_members(whole, policy.words), "id")
+    found = _joined(found, verified(written(compared(blocks, policy.percent), "compared"), sets, whole, policy, estimated=True))
 
     of_set = sets.select("k1", "k2", "id").join(found, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component_id"))
     out = rows.filter("n > 0").join(of_set, ["k1", "k2"]).select("doc_id", "n", "component_id")
