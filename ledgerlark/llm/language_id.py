@@ -109,7 +109,7 @@ def fit(labelled: list[tuple[str, bytes]], order: int = MAX_ORDER, contexts: int
             longer = kept.get(c + bytes([byte]))
             if longer is not None:
                 follow[state, classes[byte]] = longer
-    return Model(languages, classes, follow, bits.reshape(-1, len(languages)))
+    return Model(languages, classes, follow, bits.reshape(len(kept) * width, len(languages)))
 
 
 def code_lengths(model: Model, whole: list[bytes]) -> np.ndarray:
