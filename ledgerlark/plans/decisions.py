@@ -151,14 +151,14 @@ def rul4_risk(t):
     return _edges(t).select("l_orderkey", "l_linenumber", "l_partkey", decision.alias("decision"), reason.alias("reason"), F.array_join(wrong, ",").alias("failed"))
 
 
-@R.add(f"""WITH {EDGES}, k AS (SELECT l_orderkey, l_linenumber, l_partkey, p, ask, (ask + 0.005)::DECIMAL(10,6) AS price, (l_extendedprice / 1000)::DECIMAL(18,2) AS capital FROM e WHERE l_orderkey % 10 = 0),
-q AS (SELECT k.*, CASE WHEN price > 0 AND price < 1 THEN coalesce((SELECT max(r.range) FROM range(0, 2000) r WHERE ceil(price * r.range * 100) + ceil(ceil(price * r.range * 100) * 0.02) <= capital * 100), 0) ELSE 0 END AS quantity FROM k),
+@R.add(f"""WITH {EDGES}, k AS (SELECT l_orderkey, l_linenumber, l_partkey, p, ask, (ask + 0.005)::DECIMAL(10,6) AS price, (l_extendedprice / 1000)::DECIMAL(18,2) AS capital FROM e),
+q AS (SELECT k.*, CASE WHEN price > 0 AND price < 1 THEN (capital * 100)::BIGINT * 50 // 51 * 10000 // (price * 1000000)::BIGINT ELSE 0 END AS quantity FROM k),
 c AS (SELECT *, CASE WHEN quantity > 0 THEN (ceil(price * quantity * 100) + ceil(ceil(price * quantity * 100) * 0.02))::DOUBLE / 100 END AS total FROM q),
 u AS (SELECT *, (ceil(round(total / nullif(quantity, 0) * 1000000, 4)) / 1000000)::DECIMAL(10,6) AS unit FROM c)
 SELECT l_orderkey, l_linenumber, l_partkey, price::DOUBLE AS price, quantity, total, unit::DOUBLE AS unit_cost, (p - unit)::DOUBLE AS adjusted_edge,
 CASE WHEN ask <= 0 OR ask >= 1 THEN 'ask_out_of_range' WHEN price >= 1 THEN 'price_not_below_one' WHEN quantity < 1 THEN 'less_than_one_contract' WHEN p - unit < 0.02 THEN 'edge_below_minimum' ELSE 'filled' END AS outcome FROM u""")
 def rul7_execution(t):
-    rows = _edges(t).filter("l_orderkey % 10 = 0").withColumn("capital", (F.col("l_extendedprice") / 1000).cast("decimal(18,2)"))
+    rows = _edges(t).withColumn("capital", (F.col("l_extendedprice") / 1000).cast("decimal(18,2)"))
     out = markets.execution(rows, "ask", "capital", "p", 50, "0.02", "0.02")
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "price", "quantity", "total", "unit_cost", "adjusted_edge", "outcome")
 
@@ -296,9 +296,9 @@ def rul19_match_outcome(t):
     return t("customer").select(status.alias("status"), reason.alias("reason")).groupBy("status", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add("SELECT doc_id, trim(regexp_replace(strip_accents(replace(lower(substr(text, 1, 200)), 'ß', 'ss')), '[^a-z0-9]+', ' ', 'g')) AS plain FROM documents WHERE lang IN ('en', 'es')")
+@R.add("SELECT doc_id, trim(regexp_replace(strip_accents(replace(lower(text), 'ß', 'ss')), '[^a-z0-9]+', ' ', 'g')) AS plain FROM documents")
 def str1_normalize(t):
-    return t("documents").filter(F.col("lang").isin("en", "es")).select("doc_id", text.normalize(F.substring("text", 1, 200)).alias("plain"))
+    return t("documents").select("doc_id", text.normalize(F.col("text")).alias("plain"))
 
 
 @R.add("SELECT doc_id, contains(' ' || lower(text) || ' ', ' the ') OR contains(' ' || lower(text) || ' ', ' les ') AS signal, regexp_matches(text, '(^|[^A-Za-z0-9])THE([^A-Za-z0-9]|$)') AS token FROM documents")

@@ -179,13 +179,13 @@ def jn10_pair_window(t):
 PLAIN = r"trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
 
 
-@R.add(f"""WITH d AS (SELECT doc_id, ' ' || {PLAIN.format('text')} || ' ' AS text FROM documents WHERE lang = 'en'),
+@R.add(f"""WITH d AS (SELECT doc_id, ' ' || {PLAIN.format('text')} || ' ' AS text FROM documents),
 b AS (SELECT item_id, {PLAIN.format("array_to_string(list_slice(string_split(text, ' '), 1, 4), ' ')")} AS phrase FROM benchmark),
 alone AS (SELECT phrase, min(item_id) AS item_id FROM b GROUP BY phrase HAVING count(DISTINCT item_id) = 1)
 SELECT DISTINCT doc_id, item_id FROM d, alone WHERE contains(d.text, ' ' || phrase || ' ')""")
 def jn11_phrase_join(t):
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
-    docs = t("documents").filter("lang = 'en'").select("doc_id", plain(F.col("text")).alias("text"))
+    docs = t("documents").select("doc_id", plain(F.col("text")).alias("text"))
     phrases = t("benchmark").select("item_id", plain(F.substring_index("text", " ", 4)).alias("phrase"))
     return joins.phrase_owners(docs, phrases, "text", "phrase", "item_id", "doc_id")
 
