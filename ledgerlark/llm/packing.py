@@ -6,7 +6,8 @@ shortest so far and still has room; a pattern stands for as many sequences as it
 and not on the documents. Patterns come back as rank intervals, joined to the pieces by length and rank within the
 length. The rank is counted in salted buckets, so that the most frequent length is no single group.
 
-Defined results. Null and empty texts are the end id alone. Every id lies in exactly one piece. Equal rows are packed each by itself.
+Defined results. Null and empty texts are the end id alone. Added tokens in texts are ordinary text unless added=True (the
+registered query and the pipeline), which gives the ids of the tokenizers library with add_special_tokens=False. Every id lies in exactly one piece. Equal rows are packed each by itself.
 An empty table gives an empty result. The intervals that are broadcast are bounded by the number of lengths (see place()).
 """
 
@@ -39,7 +40,8 @@ class Encoder:
     """Token ids of texts as bytes (little-endian unsigned 32 bits).
 
     Reads the byte-level BPE vocabulary of a tokenizers file and encodes by tiktoken, whose ids for it are the same and
-    which is about three times as fast. Strings of special tokens in a text are ordinary text.
+    which is about three times as fast. The file's added tokens in a text are ordinary text, or with added=True the
+    added tokens' own ids, as the library finds them unless told otherwise.
     """
 
     def __init__(self, path: str):
@@ -47,14 +49,21 @@ class Encoder:
         from public_tokenizers import PATTERN
 
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            whole = json.load(f)
+        vocabulary = whole["model"]["vocab"]
+        tokens = whole.get("added_tokens") or []
+        if any(t[k] for t in tokens for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that take white space or whole words are not supported")
         ranks = {bytes(_BYTE_OF[c] for c in token): i for token, i in vocabulary.items() if all(c in _BYTE_OF for c in token)}
-        special = {token: i for token, i in vocabulary.items() if re.fullmatch(r"<\|\w+\|>", token)}
+        self.added = {t["content"]: t["id"] for t in tokens}
+        special = {token: i for token, i in vocabulary.items() if re.fullmatch(r"<\|\w+\|>", token)} | self.added
         for token in special:
             ranks.pop(token.encode(), None)
         self.bpe = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
-    def encode(self, text: str) -> bytes:
+    def encode(self, text: str, added: bool = False) -> bytes:
+        if added and any(token in text for token in self.added):
+            return array("I", self.bpe.encode(text, allowed_special=set(self.added), disallowed_special=())).tobytes()
         return array("I", self.bpe.encode_ordinary(text)).tobytes()
 
 
@@ -74,7 +83,7 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(path)
 
 
-def tokenize(docs: DataFrame, path: str, sequence: int = SEQUENCE, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
+def tokenize(docs: DataFrame, path: str, sequence: int = SEQUENCE, end_id: int = END_ID, keep_ids: bool = False, added: bool = False) -> DataFrame:
     """Pieces of documents: doc_id, start, length, ids_crc32, doc_tokens, and the ids themselves if asked for."""
     short_batches(docs.sparkSession)
     tail, width = end_id.to_bytes(4, "little"), 4 * sequence
@@ -85,7 +94,7 @@ def tokenize(docs: DataFrame, path: str, sequence: int = SEQUENCE, end_id: int =
             ids, whole = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out = [[] for _ in range(6)]
             for doc_id, text in zip(ids, whole, strict=True):
-                found = encoder.encode(text) + tail
+                found = encoder.encode(text, added) + tail
                 for at in range(0, len(found), width):
                     piece = found[at : at + width]
                     row = (doc_id, at // 4, len(piece) // 4, zlib.crc32(piece), len(found) // 4, piece)
@@ -153,6 +162,6 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     return placed.select(*kept, (F.col("_first") + F.col("_rank") - F.col("_from")).alias("sequence_id"), F.col("_offset").alias("offset"))
 
 
-def pack_documents(docs: DataFrame, path: str, sequence: int = SEQUENCE, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, sequence: int = SEQUENCE, end_id: int = END_ID, keep_ids: bool = False, added: bool = False) -> DataFrame:
     """Tokenize, cut and pack whole documents. The pieces are written once, so that no text is tokenized twice."""
-    return pack(written(tokenize(docs, path, sequence, end_id, keep_ids), "pieces"), sequence)
+    return pack(written(tokenize(docs, path, sequence, end_id, keep_ids, added), "pieces"), sequence)
