@@ -1,7 +1,6 @@
 """Queries of scoring, money, markets, matching, profiles, audits and ratings, bound to the synthetic tables."""
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ledgerlark.functions import rounding, text
 from ledgerlark.functions.rounding import dec
@@ -335,15 +334,10 @@ def fld1_elo_replay(t):
 
 @R.add()
 def fld2_weekly_elo(t):
-    g = _games(t).withColumns({"season": F.year("starts").cast("long"), "day": F.dayofyear("starts")})
-    # a team plays once a day here: its first game of the day
-    for side in ("home", "away"):
-        g = g.withColumn("_n", F.row_number().over(Window.partitionBy("league", "season", "day", side).orderBy("game_id"))).filter("_n = 1").drop("_n")
-    both = g.select("league", "season", "day", "game_id", F.explode(F.array("home", "away")).alias("team"))
-    clash = both.withColumn("_n", F.row_number().over(Window.partitionBy("league", "season", "day", "team").orderBy("game_id"))).filter("_n > 1").select("league", "game_id").distinct()
-    g = g.join(clash, ["league", "game_id"], "left_anti")
+    g = _games(t).withColumns({"season": F.year("starts").cast("long"), "week": F.dayofyear("starts").cast("long")})
     payout = F.when(F.col("home_score") > F.col("away_score"), 1.0).when(F.col("home_score") == F.col("away_score"), 0.5).when(F.col("home_score") < F.col("away_score"), 0.0)
-    return ratings.weekly_elo(g.withColumns({"week": F.col("day").cast("long"), "payout": payout})).withColumns({"p_home": F.round("p_home", 9), "prior_mean": F.round("prior_mean", 9)})
+    # a team may have several games a day: those that clash go to later rounds
+    return ratings.weekly_elo(ratings.in_rounds(g.withColumn("payout", payout))).withColumns({"p_home": F.round("p_home", 9), "prior_mean": F.round("prior_mean", 9)})
 
 
 @R.add()
