@@ -12,7 +12,8 @@
 With 40 bands of 6 registers, a pair of similarity 0.8 shares no bucket with probability 5e-6.
 
 Defined results. Null and empty texts and texts without words have the empty set and are linked with nothing. Rows that repeat
-a doc_id are one document; each row is returned. An empty table gives an empty result. Columns other than doc_id and text are ignored.
+a doc_id with the same set are one document; each row is returned. Rows without a doc_id come after all ids; a group
+without any id has the component_id null. Of a group, the rows of the smallest doc_id with one same set are kept. An empty table gives an empty result. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -43,22 +44,27 @@ class Policy:
 
 
 def sketched(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n, k1, k2 (the set's key), registers (little-endian 16-bit values)."""
+    """doc_id, t1, t2 (hashes of the text), n, k1, k2 (the set's key), registers (little-endian 16-bit values)."""
     from ledgerlark.llm.media import runs
 
     short_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            ids, whole = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            whole = batch.column(3).to_pylist()
             for a, b in runs([len(t) for t in whole], TOGETHER):
                 sets = shingles.shingle_sets(whole[a:b], words)
                 registers = shingles.sketches(sets)
                 keys = [shingles.set_key(s) for s in sets]
-                columns = [ids[a:b], [len(s) for s in sets], [k[0] for k in keys], [k[1] for k in keys]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns] + [pa.array([r.tobytes() for r in registers], pa.binary())], names=["doc_id", "n", "k1", "k2", "registers"])
+                columns = [[len(s) for s in sets], [k[0] for k in keys], [k[1] for k in keys]]
+                own = [batch.column(k).slice(a, b - a) for k in range(3)]
+                yield pa.RecordBatch.from_arrays(own + [pa.array(c, pa.int64()) for c in columns] + [pa.array([r.tobytes() for r in registers], pa.binary())], names=["doc_id", "t1", "t2", "n", "k1", "k2", "registers"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, n long, k1 long, k2 long, registers binary")
+    return texts(docs).select("doc_id", *_text_key(F.col("text"), "t1", "t2"), "text").mapInArrow(run, "doc_id long, t1 long, t2 long, n long, k1 long, k2 long, registers binary")
+
+
+def _text_key(text, *names: str) -> list:
+    return [F.xxhash64(F.lit(seed), text).alias(name) for seed, name in zip("ab", names, strict=True)]
 
 
 def banded(sets: DataFrame) -> DataFrame:
@@ -191,15 +197,24 @@ def compared(blocks: DataFrame, percent: int) -> DataFrame:
 
 def groups(docs: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
+    return _grouped(docs, policy).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "kept")
+
+
+def _grouped(docs: DataFrame, policy: Policy) -> DataFrame:
+    """doc_id, t1, t2, n, component_id, kept and component (a number of its own; null for the empty set) for every row."""
     rows = written(sketched(docs, policy.words), "sketched")
-    # One row a set; its id is its smallest doc_id.
-    keys = rows.filter("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n", "registers")).alias("least"))
-    sets = written(keys.select("k1", "k2", F.col("least.doc_id").alias("id"), F.col("least.n").alias("n"), F.col("least.registers").alias("registers")), "sets")
+    # One row a set, with a number of its own and the row of its smallest doc_id: doc_ids may be null, or have several sets.
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2", "n", "registers")).alias("least")
+    keys = rows.filter("n > 0").groupBy("k1", "k2").agg(least)
+    sets = written(keys.select("k1", "k2", F.monotonically_increasing_id().alias("id"), "least.*"), "sets")
     buckets = banded(sets)
     shared = buckets.groupBy("bucket").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = written(buckets.join(shared.select("bucket", "centre"), "bucket"), "buckets")
     candidates = members.select("id").distinct()
-    whole = written(texts(docs).withColumnRenamed("doc_id", "id").join(candidates, "id", "left_semi").dropDuplicates(["id"]), "candidates")
+    wanted = sets.join(candidates, "id", "left_semi").select("id", F.col("doc_id").alias("_doc"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"))
+    here = texts(docs).select("doc_id", *_text_key(F.col("text"), "t1", "t2"), "text")
+    same = here["doc_id"].eqNullSafe(wanted["_doc"]) & (here["t1"] == wanted["_t1"]) & (here["t2"] == wanted["_t2"])
+    whole = written(here.join(wanted, same).select("id", "text").dropDuplicates(["id"]), "candidates")
 
     nearest = members.filter("id > centre").groupBy("id").agg(F.min("centre").alias("u")).select("u", F.col("id").alias("v"))
     found = _joined(candidates.select("id", F.col("id").alias("component")), verified(nearest, sets, whole, policy))
@@ -209,18 +224,28 @@ def groups(docs: DataFrame, policy: Policy = Policy()) -> DataFrame:
     blocks = _blocks(sized).join(short_members(whole, policy.words), "id")
     found = _joined(found, verified(written(compared(blocks, policy.percent), "compared"), sets, whole, policy, estimated=True))
 
-    of_set = sets.select("k1", "k2", "id").join(found, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component_id"))
-    out = rows.filter("n > 0").join(of_set, ["k1", "k2"]).select("doc_id", "n", "component_id")
-    out = out.unionByName(rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    of_set = sets.select("k1", "k2", "id", "none", "doc_id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    tops = of_set.groupBy("component").agg(F.min(F.struct("none", "doc_id", "id")).alias("top"))
+    tops = tops.select("component", F.col("top.doc_id").alias("component_id"), F.col("top.id").alias("first"))
+    of_set = of_set.join(tops, "component").select("k1", "k2", "component", "component_id", (F.col("id") == F.col("first")).alias("on_top"))
+    columns = ["doc_id", "t1", "t2", "n", "component_id", "kept", "component"]
+    out = rows.filter("n > 0").join(of_set, ["k1", "k2"]).withColumn("kept", F.col("on_top") & F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*columns)
+    alone = {"component_id": F.col("doc_id"), "kept": F.lit(True), "component": F.lit(None).cast("long")}
+    return out.unionByName(rows.filter("n = 0").withColumns(alone).select(*columns))
 
 
 def one_of_each(docs: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """The documents that stay, with all their columns: the smallest doc_id of each group, once."""
-    kept = groups(docs, policy).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    key = fresh(docs, "kept_id")
-    kept = kept.withColumnRenamed("_kept_id", key)
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept[key]), "left_semi").dropDuplicates(["doc_id"])
+    """The documents that stay, with all their columns: the smallest doc_id of each group, once.
+
+    Of the rows without a word, those that repeat a doc_id count once; those without a doc_id all stay.
+    """
+    doc, t1, t2, component, once, apart = (fresh(docs, c) for c in ("kept_id", "kept_t1", "kept_t2", "kept_component", "kept_once", "kept_apart"))
+    kept = _grouped(docs, policy).filter("kept").select(F.col("doc_id").alias(doc), F.col("t1").alias(t1), F.col("t2").alias(t2), F.col("component").alias(component)).distinct()
+    own = [F.xxhash64(F.lit(seed), F.coalesce(docs["text"].cast("string"), F.lit(""))) for seed in "ab"]
+    rows = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept[doc]) & (own[0] == kept[t1]) & (own[1] == kept[t2]))
+    empty = F.col(component).isNull()
+    rows = rows.withColumns({once: F.when(empty, F.col(doc)), apart: F.when(empty & F.col(doc).isNull(), F.monotonically_increasing_id())})
+    return rows.dropDuplicates([component, once, apart]).select(*docs.columns)
 
 
 def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
