@@ -3,7 +3,7 @@
 A line's key is the line without ASCII white space at both ends, with A-Z lower-cased; keys of at least ten code points
 count. Keys are known by 128-bit hashes. Keys of two or more documents are indexed: hash shards each hold a minimal perfect
 hash (bit levels, each key in the first level where it lands alone) over compact arrays of fingerprints, counts and owners (the
-smallest doc_id). Documents are dealt into blocks; a block sends each of its distinct keys once to its shard, probes the
+smallest doc_id). The number of shards grows with the indexed keys and with the probes. Documents are dealt into blocks; a block sends each of its distinct keys once to its shard, probes the
 arrays there, and gets back the few that repeat. No line is joined with a line, and a line that every document holds costs one
 probe a block.
 
@@ -26,6 +26,8 @@ from ledgerlark.llm.common import SPACES, ascii_lower, fresh, short_batches, wri
 
 LEAST_POINTS = 10
 KEYS_PER_SHARD = 100_000
+#: Most rows that probe one shard, on average: 33 bytes each.
+PROBES_PER_SHARD = 1_000_000
 BLOCKS_PER_SPLIT = 8
 NO_ID = 2**63 - 1
 GAMMA = 1.5
@@ -115,22 +117,29 @@ def _probe_shard(index: pa.Table, probes: pa.Table) -> pa.Table:
 def keys_of(docs: DataFrame, blocks: int) -> DataFrame:
     """block, h1, h2, owner, last, n: a row for each distinct key of a block of documents."""
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    lines = docs.select(doc.alias("doc"), F.explode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)).alias("line"))
-    lines = lines.select("doc", F.btrim("line", F.lit(SPACES)).alias("key")).filter(F.char_length("key") >= LEAST_POINTS)
-    lines = lines.select("doc", ascii_lower(F.col("key")).alias("key"))
-    hashed = lines.select(_block(F.col("doc"), blocks).alias("block"), "doc", F.xxhash64(F.lit("a"), "key").alias("h1"), F.xxhash64(F.lit("b"), "key").alias("h2"))
+    lines = docs.select(_block(blocks).alias("block"), doc.alias("doc"), F.explode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)).alias("line"))
+    lines = lines.select("block", "doc", F.btrim("line", F.lit(SPACES)).alias("key")).filter(F.char_length("key") >= LEAST_POINTS)
+    lines = lines.select("block", "doc", ascii_lower(F.col("key")).alias("key"))
+    hashed = lines.select("block", "doc", F.xxhash64(F.lit("a"), "key").alias("h1"), F.xxhash64(F.lit("b"), "key").alias("h2"))
     return hashed.groupBy("block", "h1", "h2").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n"))
 
 
-def _block(doc, blocks: int):
-    return F.pmod(F.xxhash64(doc), F.lit(blocks)).cast("long")
+def _block(blocks: int):
+    """The block of a row: by its doc_id, and by its text where that is null, as many rows may have none."""
+    doc = F.col("doc_id").cast("long")
+    return F.pmod(F.xxhash64(doc, F.when(doc.isNull(), F.col("text"))), F.lit(blocks)).cast("long")
+
+
+def shards_for(repeated: int, probes: int) -> int:
+    """Shards such that neither the index nor the probes of one are many."""
+    return max(16, -(-repeated // KEYS_PER_SHARD), -(-probes // PROBES_PER_SHARD))
 
 
 def build_index(keys: DataFrame) -> tuple[DataFrame, int]:
-    """(index, shards): one row a shard over the keys that two or more documents hold."""
+    """(index, shards): one row a shard over the keys that two or more documents hold. keys: a written table, all of which will probe."""
     totals = keys.groupBy("h1", "h2").agg(F.min("owner").alias("owner"), F.max("last").alias("last"), F.sum("n").alias("n"))
     repeated = written(totals.filter("owner < last").drop("last"), "repeated-lines")
-    shards = max(16, -(-repeated.count() // KEYS_PER_SHARD))
+    shards = shards_for(repeated.count(), keys.count())
     rows = repeated.withColumn("shard", F.pmod("h1", F.lit(shards)))
     return rows.groupBy("shard").applyInPandas(_build_shard, INDEX), shards
 
@@ -167,7 +176,7 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     probes = keys.select(F.pmod("h1", F.lit(shards)).alias("shard"), "block", "h1", "h2")
     hits = index.groupBy("shard").cogroup(probes.groupBy("shard")).applyInArrow(_probe_shard, "block long, h1 long, h2 long, owner long, count long")
     block = fresh(docs, "block")
-    dealt = docs.withColumn(block, _block(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), blocks))
+    dealt = docs.withColumn(block, _block(blocks))
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema]).add("n_lines", "long").add("n_dropped", "long")
     arrow = _arrow(schema)
 
