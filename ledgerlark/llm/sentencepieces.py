@@ -66,6 +66,8 @@ class PrefixTable:
         steps = {s: n for n, s in enumerate(dict.fromkeys(self.score[p] for p in many), 1)}
         self.never = len(steps) + 2
         self.rank = [0] * (self.none + 1)
+        for p in many:
+            self.rank[self.id_of[p]] = self.never  # until its turn: no piece is merged from ones that come later
         self.first, self.second = list(range(self.none + 1)), list(range(self.none + 1))
         self.made: dict[int, int] = {}  # pair of tokens -> rank of what they merge to
         self.loose: set[int] = set()

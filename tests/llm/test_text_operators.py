@@ -103,6 +103,21 @@ def test_sentencepiece(docs):
     assert Counter(tuple(r) for r in sentencepieces.encode_documents(docs, path).collect()) == expected
 
 
+def test_sentencepiece_on_random_texts():
+    """Strings of pieces, runs of spaces and odd characters, against the library."""
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    digest, rng = sentencepieces.Digester(path), np.random.default_rng(5)
+    shown, odd = [p for p in digest.table.shown if not p.startswith("<0x")], ["\n", "\t", "e\u0301", "漢", "😀", "\0", "  ", "     ", "▁", "aaaa", "111", "\r\n", "ß"]
+    pick = lambda: odd[rng.integers(len(odd))] if rng.random() < 0.3 else shown[rng.integers(len(shown))]
+    texts = ["".join(pick() for _ in range(rng.integers(25))) for _ in range(3000)] + [c * n for c in "a =" for n in range(1, 120)] + ["ab" * 500, "=" * 3000]
+    for text, (ids, n, decoded) in zip(texts, digest(texts), strict=True):
+        expected = library.encode(text)
+        assert (ids, n, decoded) == (",".join(map(str, expected)), len(expected), library.decode(expected)), text
+
+
 def test_media_round_trip(docs):
     expected = Counter()
     for doc_id, text in pairs(docs):
