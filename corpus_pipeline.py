@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.llm import language_id, line_dedup, near_dups, packing, quality
-from ledgerlark.llm.common import table, written
+from ledgerlark.llm.common import fresh, table, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +21,13 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier document has; n_chars follows the text."""
-    kept = line_dedup.drop_repeated_lines(docs).drop("n_lines", "n_dropped")
+    """Documents without the lines that an earlier document has; n_chars follows the text.
+
+    Columns of the documents with the names of the operator's counts are set aside and come back unchanged.
+    """
+    aside = {c: fresh(docs, f"{c}_own") for c in docs.columns if c.lower() in ("n_lines", "n_dropped")}
+    kept = line_dedup.drop_repeated_lines(docs.withColumnsRenamed(aside)).drop("n_lines", "n_dropped")
+    kept = kept.withColumnsRenamed({own: c for c, own in aside.items()})
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return kept.select(*docs.columns)

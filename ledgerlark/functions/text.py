@@ -41,8 +41,8 @@ def has_token(text: Column, token: str) -> Column:
 
 
 def tokens_found(text: Column, tokens: list[str]) -> Column:
-    """How many of the tokens stand in a text, in any letter case."""
-    return sum((text.rlike(rf"(?i)\b{re.escape(t)}\b").cast("int") for t in tokens), F.lit(0))
+    """How many of the tokens stand in a text between characters other than ASCII letters and digits, in any letter case."""
+    return sum((F.lower(text).rlike(rf"(?<![a-z0-9]){re.escape(t.lower())}(?![a-z0-9])").cast("int") for t in tokens), F.lit(0))
 
 
 def opponents(text: Column) -> Column:
@@ -55,13 +55,16 @@ def after_last_dash(text: Column) -> Column:
 
 
 def is_idempotency_key(text: Column) -> Column:
-    return text.rlike(r"^[A-Za-z0-9][A-Za-z0-9._:-]{7,127}$")
+    """1 to 100 letters, digits and . _ : -, the first a letter or digit."""
+    return text.rlike(r"^[A-Za-z0-9][A-Za-z0-9._:-]{0,99}\z")
 
 
 def signed_percent(value: Column) -> Column:
-    """A fraction as a signed percentage with one digit; the sign of zero is +."""
-    shown = F.round(value.cast("decimal(20,8)") * 100, 1)
-    return F.concat(F.when(shown < 0, F.lit("-")).otherwise(F.lit("+")), F.abs(shown).cast("decimal(20,1)").cast("string"), F.lit("%"))
+    """A fraction as a percentage with one digit: signed by + or the minus sign U+2212 unless it is zero; Unavailable where it is missing."""
+    exact = value.cast("decimal(20,8)")
+    shown = F.concat(F.round(F.abs(exact) * 100, 1).cast("decimal(20,1)").cast("string"), F.lit("%"))
+    sign = F.when(exact > 0, "+").when(exact < 0, "\u2212").otherwise("")
+    return F.coalesce(F.concat(sign, shown), F.lit("Unavailable"))
 
 
 def money(value: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,16 +32,28 @@ def in_window(left: DataFrame, right: DataFrame, left_pair: tuple[str, str], rig
     return a.join(b, "_pair").filter(gap <= seconds * 1_000_000).drop("_pair")
 
 
-def phrase_owners(texts: DataFrame, phrases: DataFrame, text: str, phrase: str, owner: str, key: str) -> DataFrame:
+def _openings(text: Column, words: Column) -> Column:
+    """Hashes of all runs of so many words in a text."""
+    # the words are bound once by the outer transform, so that they are not split anew for each run
+    return F.flatten(F.transform(F.array(F.split(text, " ")), lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - words + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, words), " ")))))
+
+
+def phrase_owners(texts: DataFrame, phrases: DataFrame, text: str, phrase: str, owner: str, key: str, lead: int = 4) -> DataFrame:
     """(key, owner) where a text holds a phrase of one owner alone; phrases that several owners share say nothing.
 
-    The first word of a phrase is an equi-join key: texts are exploded into their distinct words, so no text is compared with
-    phrases that cannot occur in it.
+    The hash of a phrase's first words (lead of them, or all of a shorter phrase) is an equi-join key with the runs of as many words in the
+    texts. Texts travel only to be compared with phrases whose opening they hold. Texts without a key and empty phrases say nothing.
     """
     alone = phrases.groupBy(phrase).agg(F.count_distinct(owner).alias("_n"), F.min(owner).alias(owner)).filter("_n = 1").drop("_n")
-    alone = alone.withColumn("_word", F.substring_index(phrase, " ", 1))
-    words = texts.select(key, text, F.explode(F.array_distinct(F.split(text, " "))).alias("_word"))
-    return words.join(alone, "_word").filter(contains_phrase(F.col(text), F.col(phrase))).select(key, owner).distinct()
+    alone = alone.filter(F.length(phrase) > 0).withColumn("_n", F.least(F.size(F.split(phrase, " ")), F.lit(lead)))
+    alone = alone.withColumn("_run", F.xxhash64(F.substring_index(phrase, " ", lead)))
+    several = F.size(F.split(text, " "))
+    runs = [F.when(several >= n, _openings(F.col(text), F.lit(n))) for n in range(1, lead + 1)]
+    held = [texts.select(key, F.explode(F.array_distinct(runs[r["_n"] - 1])).alias("_run")) for r in alone.select("_n").distinct().sort("_n").collect()]  # at most lead lengths
+    if not held:
+        return texts.filter(F.lit(False)).select(key, F.lit(None).cast(phrases.schema[owner].dataType).alias(owner))
+    found = reduce(DataFrame.unionByName, held).join(alone, "_run").select(key, owner, phrase).distinct()
+    return found.join(texts, key).filter(contains_phrase(F.col(text), F.col(phrase))).select(key, owner).distinct()
 
 
 def paired(a: DataFrame, b: DataFrame, key: str, outcome: str, score: str) -> DataFrame:

@@ -18,10 +18,10 @@ def edge_class(edge: Column) -> Column:
     return F.when(edge >= CANDIDATE, "trade_candidate").when(edge >= WATCH, "watch").when(edge.isNotNull(), "ignore")
 
 
-def valid_book(yes_bid: Column, yes_ask: Column, no_bid: Column, no_ask: Column) -> Column:
-    """Quotes within 0 to 1, no side crossed, and complements that agree; missing quotes break nothing."""
+def valid_book(yes_bid: Column, yes_ask: Column, no_bid: Column, no_ask: Column, last_price: Column) -> Column:
+    """Quotes and the last price within 0 to 1, no side crossed, and complements that agree; missing quotes break nothing."""
     ok = F.lit(True)
-    for q in (yes_bid, yes_ask, no_bid, no_ask):
+    for q in (yes_bid, yes_ask, no_bid, no_ask, last_price):
         ok = ok & F.coalesce(q.between(0, 1), F.lit(True))
     for bid, ask in ((yes_bid, yes_ask), (no_bid, no_ask)):
         ok = ok & F.coalesce(bid <= ask, F.lit(True))
@@ -53,7 +53,8 @@ def side_skip(ask: Column) -> Column:
 def opportunity_skip(c: dict[str, Column]) -> Column:
     """First reason to skip a market's bundle.
 
-    c: status, close_in, match, eligible, event, event_status, starts_in, price_age (seconds, exact), book_ok, forecast_age, forecast_pair, event_pair.
+    c: status, close_in, match, eligible, event, event_status, postponed, starts_in, price_age (seconds, exact), book_ok, forecast_age, forecast_pair, event_pair,
+    and the event's fingerprint as the forecast kept it (forecast_print) and as it is now (event_print).
     """
     return cascade(
         ("market_not_active", ~F.lower(c["status"]).isin("active", "open")),
@@ -61,7 +62,7 @@ def opportunity_skip(c: dict[str, Column]) -> Column:
         ("missing_event_match", c["match"].isNull()),
         ("latest_match_not_eligible", ~c["eligible"]),
         ("missing_sports_event", c["event"].isNull()),
-        ("event_not_upcoming", (c["event_status"] != "scheduled") | (c["starts_in"] <= 0)),
+        ("event_not_upcoming", (c["event_status"] != "scheduled") | c["postponed"] | (c["starts_in"] <= 0)),
         ("missing_market_price", c["price_age"].isNull()),
         ("future_market_price", c["price_age"] < 0),
         ("stale_market_price", c["price_age"] > STALE_QUOTE),
@@ -70,12 +71,14 @@ def opportunity_skip(c: dict[str, Column]) -> Column:
         ("future_operational_forecast", c["forecast_age"] < 0),
         ("stale_operational_forecast", c["forecast_age"] > STALE_FORECAST),
         ("forecast_event_mismatch", ~(F.array_sort(c["forecast_pair"]) == F.array_sort(c["event_pair"]))),
+        ("event_changed_since_forecast", ~c["forecast_print"].eqNullSafe(c["event_print"])),
     )
 
 
 def quote_state(age: Column, bid: Column, ask: Column) -> Column:
-    """fresh, stale (older than the limit in whole seconds) or unusable (a quote missing, or a bid above its ask)."""
-    return F.when(bid.isNull() | ask.isNull() | (bid > ask), "unusable").when(F.greatest(age.cast("long"), F.lit(0)) > STALE_QUOTE, "stale").otherwise("fresh")
+    """stale (older than the limit in whole seconds), else unusable (a quote missing or not between 0 and 1, or a bid above its ask), else fresh."""
+    usable = (bid > 0) & (bid < 1) & (ask > 0) & (ask < 1) & (bid <= ask)
+    return F.when(F.greatest(age.cast("long"), F.lit(0)) > STALE_QUOTE, "stale").when(F.coalesce(usable, F.lit(False)), "fresh").otherwise("unusable")
 
 
 def risk_decision(rules: list[tuple[str, Column]], exposure: Column) -> tuple[Column, Column, Column]:

@@ -9,16 +9,30 @@ from pyspark.sql.window import Window
 from ledgerlark.functions.rounding import clamp, half_up
 
 MATCH, MARGIN, WINDOW_HOURS = 0.90, 0.10, 36
+# Hours of distance and their scores, the score of the rest of the window, the share of times
+# taken from a market's close, and the weights of team and time.
+STEPS = ((3, "1.00"), (12, "0.85"), (24, "0.60"))
+REST, FROM_CLOSE = "0.30", "0.65"
+TEAM_WEIGHT, TIME_WEIGHT = "0.70", "0.30"
 
 
-def temporal_score(gap_seconds: Column, from_close: Column) -> Column:
-    """By distance in time; times taken from a market's close count less."""
-    hours = F.when(gap_seconds <= 3 * 3600, 1.00).when(gap_seconds <= 12 * 3600, 0.85).when(gap_seconds <= 24 * 3600, 0.60).otherwise(0.30)
-    return F.when(from_close, hours * 0.65).otherwise(hours)
+def _fixed(value: str) -> Column:
+    return F.lit(value).cast("decimal(3,2)")
+
+
+def temporal_score(gap_seconds: Column, from_close: Column, window_hours: int = WINDOW_HOURS) -> Column:
+    """By distance in time, nothing outside the window or without a time; times taken from a market's close count less."""
+    score = F.when(~F.coalesce(gap_seconds <= window_hours * 3600, F.lit(False)), _fixed("0.00"))
+    for hours, value in STEPS:
+        score = score.when(gap_seconds <= hours * 3600, _fixed(value))
+    score = score.otherwise(_fixed(REST))
+    return F.when(from_close, half_up((score * _fixed(FROM_CLOSE)).cast("decimal(8,4)"), 4)).otherwise(score).cast("decimal(5,4)")
 
 
 def confidence(team: Column, temporal: Column) -> Column:
-    return half_up(clamp(team * 0.70 + temporal * 0.30, 0.0, 1.0).cast("decimal(20,10)"), 4).cast("decimal(5,4)")
+    """Weighted sum of both scores in decimals, to four digits."""
+    whole = team.cast("decimal(12,6)") * _fixed(TEAM_WEIGHT) + temporal.cast("decimal(12,6)") * _fixed(TIME_WEIGHT)
+    return half_up(clamp(whole, 0, 1).cast("decimal(20,10)"), 4).cast("decimal(5,4)")
 
 
 def ranked(candidates: DataFrame, market: str, event: str, score: str) -> DataFrame:

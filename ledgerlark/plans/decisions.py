@@ -35,11 +35,11 @@ def agg8_brier(t):
     return scoring.brier(_forecasts(t), "p", "y").select("l_orderkey", "l_linenumber", "l_partkey", F.round(F.col("brier").cast("double"), 12).alias("brier"), "predicted_side", "correct")
 
 
-@R.add(f"""WITH {FORECASTS}, g AS (SELECT least(trunc(p * 10)::INT, 9) AS bin, count(*) AS n, sum(y) AS wins, sum(p) AS sp, sum((p - y) * (p - y)) AS sb FROM f WHERE p < 0.75 GROUP BY 1)
+@R.add(f"""WITH {FORECASTS}, g AS (SELECT least(trunc(p * 10)::INT, 9) AS bin, count(*) AS n, sum(y) AS wins, sum(p) AS sp, sum((p - y) * (p - y)) AS sb FROM f GROUP BY 1)
 SELECT r.range AS bin, coalesce(n, 0) AS n, coalesce(wins, 0)::BIGINT AS wins, round(sp::DOUBLE / n, 9) AS mean_p, round(wins::DOUBLE / n, 9) AS observed, round((wins - sp)::DOUBLE / n, 9) AS gap, round(abs(wins - sp)::DOUBLE / n, 9) AS abs_gap, round(sb::DOUBLE / n, 9) AS mean_brier
 FROM range(10) r LEFT JOIN g ON g.bin = r.range""")
 def agg9_calibration(t):
-    return _nine(scoring.calibration(_forecasts(t).filter("p < 0.75"), "p", "y"), "mean_p", "observed", "gap", "abs_gap", "mean_brier")
+    return _nine(scoring.calibration(_forecasts(t), "p", "y"), "mean_p", "observed", "gap", "abs_gap", "mean_brier")
 
 
 @R.add(f"""WITH {FORECASTS}, g AS (SELECT least(trunc(p * 10)::INT, 9) AS bin, count(*) AS n, abs(sum(y) - sum(p)) AS gap FROM f GROUP BY 1)
@@ -183,11 +183,11 @@ QUOTES = """q AS (SELECT *, (round(l_quantity / 50, 2) - 0.02)::DECIMAL(10,4) AS
  (1 - round(l_quantity / 50, 2) - CASE WHEN l_tax > 0.05 THEN 0.01 ELSE 0 END)::DECIMAL(10,4) AS nb, (1 - round(l_quantity / 50, 2) + 0.02)::DECIMAL(10,4) AS na FROM lineitem)"""
 
 
-@R.add(f"""WITH {QUOTES} SELECT count(*) FILTER (coalesce(yb BETWEEN 0 AND 1, true) AND coalesce(ya BETWEEN 0 AND 1, true) AND coalesce(nb BETWEEN 0 AND 1, true) AND coalesce(na BETWEEN 0 AND 1, true) AND coalesce(yb <= ya, true) AND coalesce(nb <= na, true)
+@R.add(f"""WITH {QUOTES} SELECT count(*) FILTER (coalesce(l_tax * 15 BETWEEN 0 AND 1, true) AND coalesce(yb BETWEEN 0 AND 1, true) AND coalesce(ya BETWEEN 0 AND 1, true) AND coalesce(nb BETWEEN 0 AND 1, true) AND coalesce(na BETWEEN 0 AND 1, true) AND coalesce(yb <= ya, true) AND coalesce(nb <= na, true)
  AND coalesce(abs(yb + na - 1) <= 0.0001, true) AND coalesce(abs(ya + nb - 1) <= 0.0001, true)) AS valid, count(*) FILTER (coalesce(yb > ya, false) OR coalesce(nb > na, false) OR coalesce(yb + nb > 1, false) OR coalesce(ya + na < 1, false)) AS crossed, count(*) AS n FROM q""")
 def flt13_book_checks(t):
     c = [F.col(k) for k in ("yb", "ya", "nb", "na")]
-    return _quotes(t).agg(F.count_if(markets.valid_book(*c)).alias("valid"), F.count_if(markets.crossed_book(*c)).alias("crossed"), F.count(F.lit(1)).alias("n"))
+    return _quotes(t).agg(F.count_if(markets.valid_book(*c, F.col("l_tax") * 15)).alias("valid"), F.count_if(markets.crossed_book(*c)).alias("crossed"), F.count(F.lit(1)).alias("n"))
 
 
 @R.add(f"""WITH {QUOTES}, s AS (SELECT l_orderkey, 'yes' AS direction, yb AS bid, ya AS ask FROM q UNION ALL SELECT l_orderkey, 'no', nb, na FROM q)
@@ -273,14 +273,15 @@ def rul26_audit_report(t):
     return audit.report(found)
 
 
-@R.add("""WITH c AS (SELECT o.o_custkey AS market, l.l_partkey AS event, max(least(1, greatest(0, 0.7 * (l.l_quantity / 50)::DECIMAL(10,6) + 0.3 * CASE WHEN abs(epoch(l.l_shipdate) - epoch(o.o_orderdate)) <= 10800 THEN 1.00 WHEN abs(epoch(l.l_shipdate) - epoch(o.o_orderdate)) <= 43200 THEN 0.85 WHEN abs(epoch(l.l_shipdate) - epoch(o.o_orderdate)) <= 86400 THEN 0.60 ELSE 0.30 END))) AS s
- FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey GROUP BY ALL),
+@R.add("""WITH g AS (SELECT o.o_custkey AS market, l.l_partkey AS event, (l.l_quantity / 50)::DECIMAL(10,6) AS team, abs(epoch(l.l_shipdate) - epoch(o.o_orderdate)) AS gap, l.l_linenumber = 1 AS from_close FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey),
+c AS (SELECT market, event, max(0.70 * team + 0.30 * (CASE WHEN gap <= 10800 THEN 1.00 WHEN gap <= 43200 THEN 0.85 WHEN gap <= 86400 THEN 0.60 WHEN gap <= 86400 * 7 THEN 0.30 ELSE 0 END * CASE WHEN from_close THEN 0.65 ELSE 1 END)::DECIMAL(5,4)) AS s
+ FROM g GROUP BY ALL),
 r AS (SELECT market, event, round(s::DECIMAL(20,10), 4) AS s, row_number() OVER (PARTITION BY market ORDER BY round(s::DECIMAL(20,10), 4) DESC, event) AS n FROM c)
 SELECT market, max(event) FILTER (n = 1) AS best, max(s) FILTER (n = 1)::DOUBLE AS best_score, max(s) FILTER (n = 2)::DOUBLE AS second_score FROM r WHERE n <= 2 GROUP BY market""")
 def rul20_candidate_ranking(t):
     gap = F.abs(F.unix_seconds(F.col("l_shipdate").cast("timestamp")) - F.unix_seconds(F.col("o_orderdate").cast("timestamp")))
     rows = t("orders").join(t("lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
-    score = matching.confidence((F.col("l_quantity") / 50).cast("decimal(10,6)"), matching.temporal_score(gap, F.lit(False)))
+    score = matching.confidence((F.col("l_quantity") / 50).cast("decimal(10,6)"), matching.temporal_score(gap, F.col("l_linenumber") == 1, 7 * 24))
     rows = rows.groupBy(F.col("o_custkey").alias("market"), F.col("l_partkey").alias("event")).agg(F.max(score).alias("s"))
     return matching.ranked(rows, "market", "event", "s")
 
@@ -305,9 +306,10 @@ def str4_signals(t):
     return t("documents").select("doc_id", text.any_phrase(F.lower("text"), ["the", "les"]).alias("signal"), text.has_token(F.col("text"), "THE").alias("token"))
 
 
-@R.add("SELECT c_custkey, c_name, string_split(c_name, '#')[2] AS code, CASE WHEN round(c_acctbal::DECIMAL(20,8) / 100, 1) < 0 THEN '-' ELSE '+' END || printf('%.1f', round(abs(c_acctbal::DECIMAL(20,8)) / 100, 1)) || '%' AS shown FROM customer")
+@R.add("SELECT c_custkey, c_name, string_split(c_name, '#')[2] AS code, CASE WHEN c_nationkey = 3 THEN 'Unavailable' WHEN c_nationkey = 4 THEN '0.0%' ELSE CASE WHEN c_acctbal > 0 THEN '+' WHEN c_acctbal < 0 THEN chr(8722) ELSE '' END || printf('%.1f', round(abs(c_acctbal::DECIMAL(20,8)) / 100, 1)) || '%' END AS shown FROM customer")
 def str11_formats(t):
-    return t("customer").select("c_custkey", "c_name", F.substring_index("c_name", "#", -1).alias("code"), text.signed_percent(F.col("c_acctbal").cast("decimal(20,8)") / 10000).alias("shown"))
+    value = F.when(F.col("c_nationkey") == 4, 0).when(F.col("c_nationkey") != 3, F.col("c_acctbal").cast("decimal(20,8)") / 10000)
+    return t("customer").select("c_custkey", "c_name", F.substring_index("c_name", "#", -1).alias("code"), text.signed_percent(value).alias("shown"))
 
 
 @R.add("""SELECT o_orderkey, CASE WHEN b = a THEN 0.5 WHEN b > a THEN 1.0 ELSE 0.0 END::DOUBLE AS payout FROM (SELECT o_orderkey, o_custkey % 5 AS b, o_orderkey % 5 AS a FROM orders)""")
@@ -348,15 +350,13 @@ def agg30_logistic(t):
     return rows.sparkSession.createDataFrame(values, "name string, coefficient double")
 
 
-@R.add("""SELECT s, count(*) AS n FROM (SELECT CASE WHEN value IS NULL OR event_type = 'error' THEN 'unusable' WHEN greatest((epoch_us(TIMESTAMP '2024-01-31') - epoch_us(ts)) // 1000000, 0) > 900 THEN 'stale' ELSE 'fresh' END AS s FROM
- (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)) GROUP BY 1""")
+@R.add("""WITH q AS (SELECT event_id, event_id % 1300 - 100 + 0.5 AS age, value / 100 AS bid, CASE WHEN event_type <> 'error' THEN value / 100 + (event_id % 7 - 2) / 100.0::DOUBLE END AS ask FROM events)
+SELECT event_id, CASE WHEN age >= 901 THEN 'stale' WHEN bid > 0 AND bid < 1 AND ask > 0 AND ask < 1 AND bid <= ask THEN 'fresh' ELSE 'unusable' END AS s FROM q""")
 def rul9_quote_state(t):
-    from ledgerlark.functions.times import exact_age
-
-    rows = latest(t("events"), ["user_id"], "ts", "event_id")
-    age = exact_age(F.lit("2024-01-31").cast("timestamp_ntz"), F.col("ts"))
-    ask = F.when(F.col("event_type") != "error", F.col("value"))
-    return rows.groupBy(markets.quote_state(age, F.col("value"), ask).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    e = F.col("event_id")
+    bid = F.col("value") / 100
+    ask = F.when(F.col("event_type") != "error", bid + (e % 7 - 2) / 100.0)
+    return t("events").select("event_id", markets.quote_state((e % 1300 - 100 + 0.5).cast("decimal(20,6)"), bid, ask).alias("s"))
 
 
 @R.add("""SELECT c_custkey, array_to_string(list_filter([CASE WHEN NOT coalesce(c_acctbal > 0, false) THEN 'funded' END, CASE WHEN NOT coalesce(c_nationkey < 20, false) THEN 'known_nation' END, CASE WHEN NOT coalesce(c_mktsegment <> 'BUILDING', false) THEN 'segment' END], lambda x: x IS NOT NULL), ',') AS failed,

@@ -25,23 +25,36 @@ def prj2_number(t):
 
 
 @R.add("""WITH o AS (SELECT *, CASE o_orderstatus WHEN 'F' THEN 'Finalized' WHEN 'O' THEN 'settled' ELSE 'active' END AS status, CASE o_orderkey % 4 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' WHEN 2 THEN 'scalar' END AS result,
- CASE WHEN o_orderkey % 4 = 2 THEN (o_custkey % 10 / 8.0)::DECIMAL(7,6) END AS payout, CASE WHEN o_orderkey % 5 > 0 THEN o_orderdate END AS settled FROM orders),
-v AS (SELECT *, CASE result WHEN 'yes' THEN 1 WHEN 'no' THEN 0 WHEN 'scalar' THEN payout END AS value FROM o)
-SELECT o_orderkey, CASE WHEN lower(status) IN ('finalized', 'settled') AND value BETWEEN 0 AND 1 AND settled IS NOT NULL THEN value END::DOUBLE AS yes_payout FROM v""")
+ CASE WHEN o_custkey % 7 > 0 THEN (o_custkey % 10 / 8.0)::DECIMAL(7,6) END AS payout, CASE WHEN o_orderkey % 5 > 0 THEN o_orderdate END AS settled FROM orders)
+SELECT o_orderkey, CASE WHEN lower(status) IN ('finalized', 'settled') AND o_custkey % 11 > 0 AND settled <= DATE '1998-01-01' AND CASE result WHEN 'yes' THEN payout = 1 WHEN 'no' THEN payout = 0 WHEN 'scalar' THEN payout > 0 AND payout < 1 END THEN payout END::DOUBLE AS yes_payout FROM o""")
 def prj3_resolution(t):
     k = F.col("o_orderkey") % 4
     status = F.when(F.col("o_orderstatus") == "F", "Finalized").when(F.col("o_orderstatus") == "O", "settled").otherwise("active")
     result = F.when(k == 0, "yes").when(k == 1, "no").when(k == 2, "scalar")
-    payout = F.when(k == 2, (F.col("o_custkey") % 10 / 8.0).cast("decimal(7,6)"))
-    found = readers.official_resolution(status, result, payout, F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderdate")))
+    payout = F.when(F.col("o_custkey") % 7 > 0, (F.col("o_custkey") % 10 / 8.0).cast("decimal(7,6)"))
+    kind = F.when(F.col("o_custkey") % 11 > 0, "Binary").otherwise("scalar")
+    found = readers.official_resolution(status, kind, result, payout, F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderdate")), F.lit("1998-01-01").cast("timestamp_ntz"))
     return t("orders").select("o_orderkey", found["yes_payout"].alias("yes_payout"))
 
 
-@R.add("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'final' WHEN 1 THEN 'postponed' WHEN 2 THEN 'live' WHEN 3 THEN 'scheduled' WHEN 4 THEN 'canceled' ELSE 'unknown' END AS status FROM orders""")
+@R.add("""WITH g AS (SELECT o_orderkey, o_custkey % 13 = 0 AS postponed, CASE WHEN o_custkey % 5 = 0 THEN 2 ELSE 0 END AS period, o_orderdate > DATE '1998-01-01' AS future,
+ ['Final/OT', 'Postponed', 'Halftime', '7:30 pm ET', 'Cancelled', '?', 'TBD', ' Rain'][o_orderkey % 8 + 1] AS raw FROM orders)
+SELECT o_orderkey, CASE WHEN postponed OR raw = 'Postponed' THEN 'postponed' WHEN raw = 'Cancelled' THEN 'canceled' WHEN raw = 'Final/OT' THEN 'final' WHEN period > 0 OR raw = 'Halftime' THEN 'live'
+ WHEN raw IN ('7:30 pm ET', 'TBD') OR future THEN 'scheduled' ELSE 'unknown' END AS status FROM g""")
 def prj4_game_status(t):
-    k = F.col("o_orderkey") % 6
-    raw = F.when(k == 0, "Final/OT").when(k == 1, "Postponed").when(k == 2, "In Progress").when(k == 3, "Scheduled").when(k == 4, "Cancelled").otherwise("?")
-    return t("orders").select("o_orderkey", readers.game_status(raw).alias("status"))
+    raw = F.get(F.array(*map(F.lit, ("Final/OT", "Postponed", "Halftime", "7:30 pm ET", "Cancelled", "?", "TBD", " Rain"))), (F.col("o_orderkey") % 8).cast("int"))
+    status = readers.game_status(raw, F.col("o_custkey") % 13 == 0, F.when(F.col("o_custkey") % 5 == 0, 2), F.col("o_orderdate"), F.lit("1998-01-01").cast("timestamp_ntz"))
+    return t("orders").select("o_orderkey", status.alias("status"))
+
+
+@R.add("""WITH g AS (SELECT o_orderkey, ['In Progress', 'Postponed: Rain', 'Suspended', 'Cancelled', 'Warmup'][o_orderkey % 5 + 1] AS detail, ['Live', 'Final', 'Preview', 'Other'][o_custkey % 4 + 1] AS state, CASE WHEN o_custkey % 3 = 0 THEN 'M' WHEN o_custkey % 3 = 1 THEN 'S' END AS code FROM orders)
+SELECT o_orderkey, CASE WHEN detail IN ('Postponed: Rain', 'Suspended') THEN 'postponed' WHEN detail = 'Cancelled' THEN 'canceled' WHEN state = 'Final' THEN 'final' WHEN state = 'Live' OR code = 'M' THEN 'live' WHEN state = 'Preview' OR code = 'S' THEN 'scheduled' ELSE 'unknown' END AS status FROM g""")
+def prj5_official_status(t):
+    pick = lambda n, *words: F.get(F.array(*map(F.lit, words)), n.cast("int"))
+    order, customer = F.col("o_orderkey"), F.col("o_custkey")
+    code = F.when(customer % 3 == 0, "M").when(customer % 3 == 1, "S")
+    status = readers.official_status(pick(order % 5, "In Progress", "Postponed: Rain", "Suspended", "Cancelled", "Warmup"), pick(customer % 4, "Live", "Final", "Preview", "Other"), code)
+    return t("orders").select("o_orderkey", status.alias("status"))
 
 
 @R.add("SELECT event_id FROM events WHERE user_id IN (1, 2, 3) OR ts BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-04' OR (user_id = 9 OR event_id % 50 = 9) OR (value > 90) IS TRUE")
@@ -61,15 +74,15 @@ def flt11_still_current(t):
 
 
 @R.add("""WITH m AS (SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS match, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS status FROM orders GROUP BY 1), p AS (SELECT user_id, max(ts) AS priced, arg_max(value, (ts, event_id)) AS price FROM events GROUP BY 1)
-SELECT c_custkey, match, status, n_name, strftime(priced, '%Y-%m-%d %H:%M:%S.%f') AS priced, price, CASE WHEN c_acctbal < 0 THEN 'market_closed' WHEN match IS NULL THEN 'missing_event_match' WHEN status = 'P' THEN 'latest_match_not_eligible' WHEN priced IS NULL THEN 'missing_market_price'
- WHEN epoch_us(priced) > epoch_us(TIMESTAMP '2024-01-31') THEN 'future_market_price' WHEN epoch_us(TIMESTAMP '2024-01-31') - epoch_us(priced) > 900000000 THEN 'stale_market_price' END AS skip
+SELECT c_custkey, match, status, n_name, strftime(priced, '%Y-%m-%d %H:%M:%S.%f') AS priced, price, CASE WHEN c_acctbal < 0 THEN 'market_closed' WHEN match IS NULL THEN 'missing_event_match' WHEN status = 'P' THEN 'latest_match_not_eligible' WHEN c_nationkey = 7 THEN 'event_not_upcoming' WHEN priced IS NULL THEN 'missing_market_price'
+ WHEN epoch_us(priced) > epoch_us(TIMESTAMP '2024-01-30 23:50:00') THEN 'future_market_price' WHEN epoch_us(TIMESTAMP '2024-01-30 23:50:00') - epoch_us(priced) > 900000000 THEN 'stale_market_price' WHEN c_nationkey % 2 = 0 THEN 'event_changed_since_forecast' END AS skip
 FROM customer LEFT JOIN m ON o_custkey = c_custkey LEFT JOIN p ON user_id = c_custkey LEFT JOIN nation ON n_nationkey = c_nationkey""")
 def jn5_bundle(t):
     match = t("orders").groupBy("o_custkey").agg(*[F.max_by(c, F.struct("o_orderdate", "o_orderkey")).alias(n) for c, n in (("o_orderkey", "match"), ("o_orderstatus", "status"))])
     price = t("events").groupBy("user_id").agg(F.max("ts").alias("priced"), F.max_by("value", F.struct("ts", "event_id")).alias("price"))
     rows = t("customer").join(match, F.col("o_custkey") == F.col("c_custkey"), "left").join(price, F.col("user_id") == F.col("c_custkey"), "left").join(t("nation"), F.col("n_nationkey") == F.col("c_nationkey"), "left")
     yes = F.lit(True)
-    bundle = {"status": F.lit("active"), "close_in": F.col("c_acctbal") + 0.001, "match": F.col("match"), "eligible": F.col("status") != "P", "event": F.col("match"), "event_status": F.lit("scheduled"), "starts_in": F.lit(1), "price_age": times.exact_age(F.lit("2024-01-31").cast("timestamp_ntz"), F.col("priced")), "book_ok": yes, "forecast_age": F.lit(0), "forecast_pair": F.array(F.lit(1), F.lit(2)), "event_pair": F.array(F.lit(2), F.lit(1))}
+    bundle = {"status": F.lit("active"), "close_in": F.col("c_acctbal") + 0.001, "match": F.col("match"), "eligible": F.col("status") != "P", "event": F.col("match"), "event_status": F.lit("scheduled"), "postponed": F.col("c_nationkey") == 7, "forecast_print": F.lit(0), "event_print": F.when(F.col("c_nationkey") % 2 == 1, 0), "starts_in": F.lit(1), "price_age": times.exact_age(F.lit("2024-01-30 23:50:00").cast("timestamp_ntz"), F.col("priced")), "book_ok": yes, "forecast_age": F.lit(0), "forecast_pair": F.array(F.lit(1), F.lit(2)), "event_pair": F.array(F.lit(2), F.lit(1))}
     return rows.select("c_custkey", "match", "status", "n_name", "priced", "price", markets.opportunity_skip(bundle).alias("skip"))
 
 
@@ -241,7 +254,7 @@ def ari5_affordable(t):
     return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", ledger.affordable(price, dec("l_extendedprice", 18, 2), "0.02").alias("quantity"))
 
 
-@R.add("SELECT page_id, regexp_matches(url, '(?i)\\bexample\\b')::INT + regexp_matches(url, '(?i)\\bcom\\b')::INT AS tokens, string_split(url, '-')[-1] AS tail, regexp_matches(replace(url, '/', ''), '^[A-Za-z0-9][A-Za-z0-9._:-]{7,127}$') AS is_key FROM pages")
+@R.add("SELECT page_id, regexp_matches(lower(url), '(^|[^a-z0-9])example([^a-z0-9]|$)')::INT + regexp_matches(lower(url), '(^|[^a-z0-9])com([^a-z0-9]|$)')::INT AS tokens, string_split(url, '-')[-1] AS tail, regexp_full_match(replace(url, '/', ''), '[A-Za-z0-9][A-Za-z0-9._:-]{0,99}') AS is_key FROM pages")
 def str5_tokens(t):
     url = F.col("url")
     return t("pages").select("page_id", text.tokens_found(url, ["example", "com"]).alias("tokens"), text.after_last_dash(url).alias("tail"), text.is_idempotency_key(F.replace(url, F.lit("/"), F.lit(""))).alias("is_key"))

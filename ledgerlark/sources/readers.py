@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MARKETS = "page int, cursor string, events array<struct<event_ticker string, title string, markets array<struct<ticker string, title string, yes_sub_title string, no_sub_title string, status string, result string, yes_bid string, yes_ask string, no_bid string, no_ask string, last_price string, close_time string, settlement_time string, settlement_value string>>>>"
-GAMES = "dates array<struct<date string, games array<struct<gamePk long, gameDate string, status string, home struct<id long, name string, score int>, away struct<id long, name string, score int>>>>>"
+from ledgerlark.operators.rules import cascade
+
+MARKETS = "page int, cursor string, events array<struct<event_ticker string, title string, markets array<struct<ticker string, title string, yes_sub_title string, no_sub_title string, status string, market_type string, result string, yes_bid string, yes_ask string, no_bid string, no_ask string, last_price string, close_time string, settlement_time string, settlement_value string>>>>"
+GAMES = "dates array<struct<date string, games array<struct<gamePk long, gameDate string, status string, abstract string, code string, home struct<id long, name string, score int>, away struct<id long, name string, score int>>>>>"
 PITCHES = "game_pk long, at_bat_number int, pitch_number int, game_date date, game_type string, pitcher long, batter long, events string, type string, release_speed decimal(8,3), release_spin_rate decimal(10,3), launch_speed decimal(8,3), launch_speed_angle int, estimated_woba_using_speedangle decimal(8,6), woba_value decimal(8,6), woba_denom decimal(8,6)"
 
 
@@ -15,13 +17,16 @@ def number(c: Column, kind: str = "decimal(10,4)") -> Column:
     return F.nullif(F.trim(c), F.lit("")).try_cast(kind)
 
 
-def market_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Landed pages of events with nested markets, a row a market: of a ticker that occurs on several pages the last page counts."""
+def market_pages(spark: SparkSession, path: str, retrieved: Column | None = None) -> DataFrame:
+    """Landed pages of events with nested markets, a row a market: of a ticker that occurs on several pages the last page counts.
+
+    retrieved: when the pages were landed, now if it is not given.
+    """
     pages = spark.read.schema(MARKETS).option("mode", "FAILFAST").json(path)
-    return markets_of(pages)
+    return markets_of(pages, F.current_timestamp() if retrieved is None else retrieved)
 
 
-def markets_of(pages: DataFrame) -> DataFrame:
+def markets_of(pages: DataFrame, retrieved: Column) -> DataFrame:
     rows = pages.select("page", F.posexplode("events").alias("_e", "event")).select("page", "_e", F.col("event.event_ticker").alias("event_ticker"), F.col("event.title").alias("event_title"), F.posexplode("event.markets").alias("_m", "market"))
     last = rows.groupBy(F.col("market.ticker").alias("ticker")).agg(F.max_by(F.struct("event_ticker", "event_title", "market"), F.struct("page", "_e", "_m")).alias("r"))
     m = F.col("r.market")
@@ -34,41 +39,65 @@ def markets_of(pages: DataFrame) -> DataFrame:
         F.lower(m["status"]).alias("status"),
         F.array(F.struct(F.lit("yes").alias("side"), m["yes_sub_title"].alias("label")), F.struct(F.lit("no").alias("side"), m["no_sub_title"].alias("label"))).alias("outcomes"),
         F.when(some, F.struct(*[q.alias(k) for k, q in quotes.items()])).alias("price"),
-        official_resolution(m["status"], m["result"], number(m["settlement_value"], "decimal(7,6)"), F.to_timestamp(F.nullif(m["settlement_time"], F.lit("")))).alias("resolution"),
+        official_resolution(m["status"], m["market_type"], m["result"], number(m["settlement_value"], "decimal(7,6)"), F.to_timestamp(F.nullif(m["settlement_time"], F.lit(""))), retrieved).alias("resolution"),
         F.to_timestamp(F.nullif(m["close_time"], F.lit(""))).alias("close_time"),
     )
 
 
-def official_resolution(status: Column, result: Column, payout: Column, settled: Column) -> Column:
-    """(yes_payout, no_payout, settled_at) of a finalized yes / no / scalar result; null if anything is missing or off."""
-    yes = F.when(result == "yes", F.lit(1)).when(result == "no", F.lit(0)).cast("decimal(7,6)")
-    value = F.when(result == "scalar", payout).otherwise(yes)
-    agrees = F.coalesce(payout == value, F.lit(True))
-    ok = F.lower(status).isin("finalized", "settled") & value.between(0, 1) & settled.isNotNull() & agrees
-    return F.when(ok, F.struct(value.alias("yes_payout"), (1 - value).cast("decimal(7,6)").alias("no_payout"), settled.alias("settled_at")))
+def official_resolution(status: Column, market_type: Column, result: Column, payout: Column, settled: Column, retrieved: Column) -> Column:
+    """(yes_payout, no_payout, settled_at) of a settled binary market; null if anything is missing or off.
+
+    The payout is never inferred: yes comes with 1, no with 0, scalar with a payout between them, settled no later than retrieved.
+    """
+    said = F.lower(F.trim(result))
+    agrees = ((said == "yes") & (payout == 1)) | ((said == "no") & (payout == 0)) | ((said == "scalar") & (payout > 0) & (payout < 1))
+    ok = F.lower(F.trim(status)).isin("finalized", "settled") & (F.lower(F.trim(market_type)) == "binary") & agrees & (settled <= retrieved)
+    return F.when(ok, F.struct(payout.cast("decimal(7,6)").alias("yes_payout"), (1 - payout).cast("decimal(7,6)").alias("no_payout"), settled.alias("settled_at")))
 
 
 def games(spark: SparkSession, path: str) -> DataFrame:
     """A schedule: dates hold games. Scores only of live and final games."""
     pages = spark.read.schema(GAMES).option("mode", "FAILFAST").json(path)
     rows = pages.select(F.explode("dates").alias("d")).select(F.explode("d.games").alias("g"))
-    state = game_status(F.col("g.status"))
+    state = official_status(F.col("g.status"), F.col("g.abstract"), F.col("g.code"))
     score = lambda side: F.when(state.isin("live", "final"), F.col(f"g.{side}.score"))
     return rows.select(
         F.col("g.gamePk").alias("game_id"), F.to_timestamp("g.gameDate").alias("starts"), F.to_date(F.from_utc_timestamp(F.to_timestamp("g.gameDate"), "America/New_York")).alias("event_date"), state.alias("status"), F.col("g.home.id").alias("home"), F.col("g.away.id").alias("away"), score("home").alias("home_score"), score("away").alias("away_score")
     ).dropDuplicates(["game_id"])
 
 
-def game_status(status: Column) -> Column:
-    """scheduled, live, final, postponed, canceled or unknown."""
+#: How a game in play is shown, beside its period.
+PLAYING = ("1st qtr", "2nd qtr", "halftime", "3rd qtr", "4th qtr", "overtime")
+
+
+def game_status(status: Column, postponed: Column, period: Column, starts: Column, retrieved: Column) -> Column:
+    """State of a game whose status is a text for display: a clock or a future start means scheduled."""
     s = F.lower(F.trim(status))
-    return (
-        F.when(s.startswith("final") | s.isin("game over", "completed early"), "final")
-        .when(s.startswith("postponed") | s.contains("suspended"), "postponed")
-        .when(s.startswith("cancel"), "canceled")
-        .when(s.contains("progress") | s.isin("live", "halftime") | s.rlike(r"^(q[1-4]|[1-4](st|nd|rd|th) qtr|ot)"), "live")
-        .when(s.isin("scheduled", "pre-game", "warmup", "not started") | s.rlike(r"^\d{4}-\d\d-\d\dt"), "scheduled")
-        .otherwise("unknown")
+    return F.coalesce(
+        cascade(
+            ("postponed", F.coalesce(postponed, F.lit(False)) | s.contains("postpon")),
+            ("canceled", s.contains("cancel")),
+            ("final", s.startswith("final")),
+            ("live", (F.coalesce(period, F.lit(0)) > 0) | s.isin(*PLAYING)),
+            ("scheduled", s.contains(":") | s.isin("scheduled", "tbd") | F.coalesce(starts > retrieved, F.lit(False))),
+        ),
+        F.lit("unknown"),
+    )
+
+
+def official_status(detailed: Column, abstract: Column, code: Column) -> Column:
+    """State of a game of the official schedule, by its detailed and abstract state and its code."""
+    word = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    detail, state, letter = word(detailed), word(abstract), word(code)
+    return F.coalesce(
+        cascade(
+            ("postponed", detail.contains("postpon") | detail.contains("suspend")),
+            ("canceled", detail.contains("cancel")),
+            ("final", (state == "final") | letter.isin("f", "o")),
+            ("live", (state == "live") | letter.isin("i", "m")),
+            ("scheduled", (state == "preview") | letter.isin("p", "s")),
+        ),
+        F.lit("unknown"),
     )
 
 

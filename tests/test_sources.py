@@ -33,15 +33,49 @@ def test_market_pages_last_page_counts(spark, tmp_path):
 
 def test_official_resolution(spark):
     rows = spark.createDataFrame(
-        [(1, "finalized", "yes", None, "2026-01-01"), (2, "finalized", "scalar", "0.25", "2026-01-01"), (3, "active", "yes", None, "2026-01-01"), (4, "settled", "no", "1", "2026-01-01"), (5, "settled", "no", "0", None)],
-        "id int, status string, result string, payout string, settled string",
+        [
+            (1, "finalized", "binary", "yes", None, "2026-01-01"),  # a payout is never inferred
+            (2, " Finalized ", "binary", "scalar", "0.25", "2026-01-01"),
+            (3, "active", "binary", "yes", "1", "2026-01-01"),
+            (4, "settled", "binary", "no", "1", "2026-01-01"),
+            (5, "settled", "binary", "no", "0", None),
+            (6, "settled", "Binary", "YES", "1", "2026-01-01"),
+            (7, "settled", "binary", "no", "0", "2026-02-01"),
+            (8, "settled", "binary", "no", "0", "2026-02-02"),  # after the retrieval
+            (9, "settled", "scalar", "yes", "1", "2026-01-01"),
+            (10, "settled", "binary", "scalar", "1", "2026-01-01"),
+            (11, "settled", "binary", "scalar", "nan", "2026-01-01"),
+            (12, None, None, None, None, None),
+        ],
+        "id int, status string, kind string, result string, payout string, settled string",
     )
-    found = rows.select("id", readers.official_resolution(F.col("status"), F.col("result"), readers.number(F.col("payout"), "decimal(7,6)"), F.to_timestamp("settled"))["yes_payout"].alias("y"))
-    assert {r["id"]: None if r["y"] is None else float(r["y"]) for r in found.collect()} == {1: 1.0, 2: 0.25, 3: None, 4: None, 5: None}
+    found = readers.official_resolution(F.col("status"), F.col("kind"), F.col("result"), readers.number(F.col("payout"), "decimal(7,6)"), F.to_timestamp("settled"), F.lit("2026-02-01").cast("timestamp"))
+    paid = {r["id"]: None if r["y"] is None else float(r["y"]) for r in rows.select("id", found["yes_payout"].alias("y")).collect()}
+    assert paid == {i: {2: 0.25, 6: 1.0, 7: 0.0}.get(i) for i in range(1, 13)}
+
+
+def test_game_status_in_order(spark):
+    now, later = "2026-09-14", "2026-09-15"
+    cases = [
+        ("Final", False, 0, now, "final"),
+        ("Final/OT", True, 0, now, "postponed"),
+        ("Postponed", None, None, now, "postponed"),
+        ("Canceled", False, 3, now, "canceled"),
+        ("Halftime", False, 0, now, "live"),
+        ("7:30 pm ET", False, 1, later, "live"),
+        ("7:30 pm ET", False, 0, now, "scheduled"),
+        ("tbd", False, 0, now, "scheduled"),
+        ("?", False, 0, later, "scheduled"),
+        ("?", False, 0, now, "unknown"),
+        (None, None, None, None, "unknown"),
+    ]
+    rows = spark.createDataFrame(cases, "status string, postponed boolean, period int, starts string, expected string")
+    found = readers.game_status(F.col("status"), F.col("postponed"), F.col("period"), F.to_timestamp("starts"), F.lit(now).cast("timestamp"))
+    assert rows.filter(~found.eqNullSafe(F.col("expected"))).count() == 0
 
 
 def test_games_hide_scores_before_the_start(spark, tmp_path):
-    game = lambda n, status: {"gamePk": n, "gameDate": "2026-09-14T03:30:00Z", "status": status, "home": {"id": 1, "score": 3}, "away": {"id": 2, "score": 2}}
+    game = lambda n, status: {"gamePk": n, "gameDate": "2026-09-14T03:30:00Z", "status": status, "abstract": "Final" if status == "Final" else "Preview", "home": {"id": 1, "score": 3}, "away": {"id": 2, "score": 2}}
     (tmp_path / "g.json").write_text(json.dumps({"dates": [{"date": "2026-09-13", "games": [game(1, "Scheduled"), game(2, "Final"), game(2, "Final")]}]}))
     rows = {r["game_id"]: r for r in readers.games(spark, str(tmp_path)).collect()}
     assert sorted(rows) == [1, 2]
