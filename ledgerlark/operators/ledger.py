@@ -28,14 +28,12 @@ def fill_cost(price: Column, quantity: Column, fee_rate: str) -> Column:
 def affordable(price: Column, capital: Column, fee_rate: str) -> Column:
     """The largest whole quantity whose total cost is within the capital.
 
-    The cost grows with the quantity, and three roundings add less than three cents: so only a few quantities below the
-    estimate need trying.
+    In whole cents, gross and its rounded-up fee fit exactly when the gross is at most capital / (1 + rate), rounded down; and a gross
+    rounded up fits exactly when price times quantity does.
     """
-    unit = price * (1 + F.lit(fee_rate).cast("decimal(8,6)"))
-    most = F.floor(capital / F.nullif(unit, F.lit(0).cast("decimal(8,6)"))).cast("long")
-    back = F.ceil(F.lit("0.03").cast("decimal(4,2)") / F.nullif(price, F.lit(0).cast("decimal(8,6)"))).cast("long")
-    tries = F.sequence(F.greatest(most - back, F.lit(0)), F.greatest(most, F.lit(0)))
-    return F.coalesce(F.array_max(F.filter(tries, lambda q: fill_cost(price, q.cast("decimal(18,0)"), fee_rate) <= capital)), F.lit(0))
+    gross = down(capital.cast("decimal(18,2)") / (1 + F.lit(fee_rate).cast("decimal(8,6)")), 2).cast("decimal(18,2)")
+    most = F.floor(gross / F.nullif(price.cast("decimal(10,6)"), F.lit(0).cast("decimal(10,6)"))).cast("long")
+    return F.coalesce(F.greatest(most, F.lit(0)), F.lit(0)).cast("long")
 
 
 def cumulative_cost(amount: Column, done: Column, whole: Column) -> Column:
@@ -119,26 +117,32 @@ def unequal_equations(df: DataFrame) -> DataFrame:
 def capped_entries(df: DataFrame, key: str, order: list[str], amount: str, cap: Column, single: Column) -> DataFrame:
     """Entries let in one after the other: each within the single cap, and all so far within the key's cap.
 
-    Whether an entry fits depends on which earlier ones did, so it is a fold in order within each key; a key's entries are few.
-    Adds accepted and committed (after the entry).
+    Whether an entry fits depends on which earlier ones did, so it is a fold in order within each key: rows stream through it, sorted, and it
+    holds one key's total. An entry without an amount or a cap is not let in. Adds accepted and committed (after the entry).
     """
-    import pandas as pd
-
-    rows = df.withColumns({"_cap": cap.cast("decimal(18,2)"), "_single": single.cast("decimal(18,2)"), "_amount": dec(amount, 18, 2)})
-    schema = T.StructType(list(df.schema)).add("accepted", "boolean").add("committed", "decimal(20,2)")
-    names = df.columns
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order)
-        total, accepted, committed = 0, [], []
-        for a, c, s in zip(group["_amount"], group["_cap"], group["_single"], strict=True):
-            fits = a <= s and total + a <= c
-            total += a if fits else 0
-            accepted.append(fits)
-            committed.append(total if total else a - a)
-        return group[names].assign(accepted=accepted, committed=committed)
-
-    return rows.groupBy(key).applyInPandas(fold, schema)
+    import pyarrow as pa
+
+    cents = lambda c: (c.cast("decimal(18,2)") * 100).cast("long")
+    names, place = df.columns, df.columns.index(key)
+    rows = df.withColumns({"_amount": cents(F.col(amount)), "_cap": cents(cap), "_single": cents(single)})
+    schema = T.StructType(list(df.schema)).add("accepted", "boolean").add("_committed", "long")
+
+    def fold(batches):
+        here, total = object(), 0
+        for batch in batches:
+            accepted, committed = [], []
+            amounts, caps, singles = (batch.column(len(names) + i).to_pylist() for i in range(3))
+            for k, a, c, s in zip(batch.column(place).to_pylist(), amounts, caps, singles, strict=True):
+                if k != here:
+                    here, total = k, 0
+                fits = None not in (a, c, s) and a <= s and total + a <= c
+                total += a if fits else 0
+                accepted.append(fits)
+                committed.append(total)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(accepted, pa.bool_()), pa.array(committed, pa.int64())], names=schema.names)
+
+    found = rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(fold, schema)
+    return found.select(*names, "accepted", (F.col("_committed").cast("decimal(20,0)") / 100).cast("decimal(20,2)").alias("committed"))
 
 
 def edge6(p: Column, price: Column) -> Column:
