@@ -55,3 +55,12 @@ def test_stages(spark, sf_dir):
 
     rows = corpus_pipeline.run(spark, sf_dir)
     assert Counter(map(tuple, rows.collect())) == Counter(map(tuple, p1.collect()))
+
+
+def test_line_stage_keeps_columns_named_like_its_counts(spark, sf_dir):
+    line = "a line that two documents share"
+    docs = spark.createDataFrame([(1, line, 7, "x"), (2, f"{line}\nown", 8, "y"), (3, None, None, None)], "doc_id long, text string, n_lines int, N_dropped string")
+    found = corpus_pipeline.drop_lines(spark, docs, sf_dir)
+    assert found.dtypes == docs.dtypes
+    assert {tuple(r) for r in found.collect()} >= {(1, line, 7, "x"), (2, "own", 8, "y")}
+    assert {tuple(r)[:1] + tuple(r)[2:] for r in found.collect()} == {(1, 7, "x"), (2, 8, "y"), (3, None, None)}
