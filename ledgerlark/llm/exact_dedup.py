@@ -43,7 +43,7 @@ class DigestIndex:
         return laid.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
 
     def append(self, groups: DataFrame) -> None:
-        """Add groups that the index does not hold yet."""
+        """Add groups that the index does not hold yet. A batch given again adds nothing; an index has one writer at a time."""
         new = self.unseen(groups)
         if self.exists():
             new = written(new, "digest-batch").repartition(self.buckets, "digest")  # a table can't be read and written in one job
@@ -68,11 +68,15 @@ def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """
     rows = written(digests(docs), "digests")
     index.append(groups_of(rows))
-    # Read by path, not as a bucketed scan: both sides are shuffled and a hot digest can be split at run time.
+    # Read by path, not as a bucketed scan, so that both sides are shuffled.
     location = index.spark.sql(f"DESCRIBE FORMATTED {index.name}").filter("col_name = 'Location'").first()["data_type"]
     held = index.spark.read.schema(index.read().schema).parquet(location)
-    joined = rows.join(held, "digest")
-    return joined.select(
+    return marked(rows, held)
+
+
+def marked(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """The rows with their digest's document and size; both sides are shuffled, so a hot digest can be split at run time."""
+    return rows.join(held, "digest").select(
         "doc_id",
         "keep_id",
         "group_size",
@@ -82,7 +86,22 @@ def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
 
 
 def deduplicate_once(docs: DataFrame) -> DataFrame:
-    """deduplicate() of a whole table against an index of its own that begins empty."""
+    """deduplicate() of a whole table against an index of its own, which is dropped before the rows are returned.
+
+    The table goes through the index in two batches, the larger doc_ids first, so a text that the index holds already keeps the
+    right document: the second batch is anti-joined with the first one's digests and only new ones are appended. Rows without an id are
+    in the second batch. Sizes are counted over both. The split point moves rows between batches and changes no result.
+    """
     spark = docs.sparkSession
-    buckets = max(16, 2 ** math.ceil(math.log2(max(1, docs.count()) / ROWS_PER_BUCKET))) if docs.columns else 16
-    return deduplicate(docs, DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", buckets))
+    rows = written(digests(docs), "digests")
+    total, middle = rows.agg(F.count(F.lit(1)), F.percentile_approx("doc_id", 0.5, 100)).first()
+    index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", max(16, 2 ** math.ceil(math.log2(max(1, total) / ROWS_PER_BUCKET))))
+    first = F.coalesce(F.col("doc_id") >= F.lit(middle), F.lit(False))
+    try:
+        for batch in (rows.filter(first), rows.filter(~first)):
+            index.append(groups_of(batch))
+        sizes = groups_of(rows).select("digest", "group_size").repartition(index.buckets, "digest")
+        held = written(index.read().select("digest", "keep_id").hint("merge").join(sizes, "digest"), "digest-groups")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {index.name}")
+    return marked(rows, held)
