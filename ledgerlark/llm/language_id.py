@@ -2,13 +2,13 @@
 
 Each language has a tree of byte contexts of up to MAX_ORDER bytes with the counts of the bytes that follow (method C: a context
 with n bytes seen, d of them distinct, gives the escape d / (n + d)). An unseen byte escapes to the next shorter context, at last
-to 1 of 256. Statistics are frozen after fitting: the trees are compiled into one automaton over the contexts of all
-languages, with the code length in bits of every byte after every context in every language. A text's score in a language is its exact
-code length; the shortest wins.
+to 1 of 256. Statistics are frozen after fitting: no context of the trees is cut; each context has the bytes
+that follow it in any language as a bit map, whose rank is the row of code lengths. A text's score in a language is its exact code length; the shortest wins.
 
-The trees are fitted on a bounded sample of labelled documents: whole documents in the order of a hash of their
-id, at most DOCS_A_LANGUAGE of a language and BYTES_A_LANGUAGE bytes (beyond one document). The automaton keeps the most frequent
-contexts, at most CONTEXTS, and has at most CELLS code lengths, which bounds the broadcast.
+The trees are fitted on a bounded sample of labelled documents: whole documents in the order of a hash of their id, at most
+DOCS_A_LANGUAGE of a language and BYTES_A_LANGUAGE bytes (beyond one document); longer documents are only predicted. Of labels, the
+LANGUAGES most frequent are learned, and with many of them fewer bytes of each, so that the model has at most about CELLS
+code lengths: a byte of the sample adds no more than MAX_ORDER + 1 grams of one code length a language. That bounds the broadcast.
 
 Defined results. A null text or one without any letter is "und" with score 0. score is the language's posterior from the code
 lengths, all languages being as likely before; ties go to the first language in alphabetical order. Repeated rows are predicted alike. Without labelled
@@ -30,9 +30,9 @@ from ledgerlark.llm.common import crc32_of_id, short_batches, texts
 
 MAX_ORDER = 4
 DOCS_A_LANGUAGE, BYTES_A_LANGUAGE = 300, 600_000
-CONTEXTS, CELLS = 8_000, 8_000_000
+LANGUAGES, CELLS = 64, 50_000_000
 #: Bytes of a lane, and lanes that are stepped together.
-LANE, LANES = 1024, 1024
+LANE, LANES = 256, 4096
 UNKNOWN = "und"
 #: accepted() keeps documents whose language is at least so likely.
 LEAST_SCORE = 0.5
@@ -41,80 +41,108 @@ LEAST_SCORE = 0.5
 @dataclass(frozen=True)
 class Model:
     languages: list[str]
-    classes: np.ndarray  # byte -> class; class 0: bytes that no sample has
-    follow: np.ndarray  # state, class -> state
-    bits: np.ndarray  # state and class -> code length in each language
+    shorter: np.ndarray  # context -> its longest proper suffix; context 0 is the empty one
+    escapes: np.ndarray  # context, language -> bits of falling to the shorter context, 0 where the language does not have the context
+    after: np.ndarray  # context, quarter of the bytes -> 64 bits: the bytes seen after the context in any language; all after context 0
+    first: np.ndarray  # context, quarter -> row of the first such byte
+    follow: np.ndarray  # row -> context after the byte
+    bits: np.ndarray  # row, language -> code length of the byte after the context
 
 
-def sample(docs: DataFrame, doc_limit: int = DOCS_A_LANGUAGE, byte_limit: int = BYTES_A_LANGUAGE) -> list[tuple[str, bytes]]:
+def sample(docs: DataFrame, doc_limit: int = DOCS_A_LANGUAGE, byte_limit: int = BYTES_A_LANGUAGE, most: int = LANGUAGES, cells: int = CELLS) -> list[tuple[str, bytes]]:
     """(lang, text) of the bounded sample: labelled documents in training folds, in the order of a hash of their id."""
     learn = docs.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), "text").filter((crc32_of_id(F.col("doc_id")) % 5 != 0) & F.col("lang").isNotNull())
-    counts = {r[0]: r[1] for r in learn.groupBy("lang").count().collect()}  # a row a language
+    bytes_of = F.octet_length("text").cast("long")
+    learn = learn.filter(bytes_of <= byte_limit)
+    counts = {r[0]: r[1] for r in learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()}
     if not counts:
         return []
+    byte_limit = min(byte_limit, cells // (len(counts) ** 2 * (MAX_ORDER + 1)))
     # Of each language, the share that gives a little more than the limit; then exactly the first of them.
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 1.5 * doc_limit / n)))])
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    some = learn.filter((spread < share[F.col("lang")]) & F.col("text").isNotNull()).withColumn("spread", F.xxhash64("doc_id"))
+    some = learn.filter(spread < share[F.col("lang")]).withColumn("spread", F.xxhash64("doc_id"))
     order = Window.partitionBy("lang").orderBy("spread", "doc_id", "text")
-    some = some.withColumn("row", F.row_number().over(order)).withColumn("bytes", F.sum(F.octet_length("text").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    some = some.withColumn("row", F.row_number().over(order)).withColumn("bytes", F.sum(bytes_of).over(order.rowsBetween(Window.unboundedPreceding, -1)))
     some = some.filter((F.col("row") <= doc_limit) & (F.coalesce("bytes", F.lit(0)) < byte_limit)).select("lang", "text")
     return [(r[0], r[1].encode()) for r in some.collect()]  # bounded by the limits
 
 
-def fit(labelled: list[tuple[str, bytes]], order: int = MAX_ORDER, contexts: int = CONTEXTS, cells: int = CELLS) -> Model:
+def grams(whole: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Substrings of a size as big-endian numbers, sorted, with their counts."""
+    found = [np.zeros(0, np.int64)]
+    for text in whole:
+        data = np.frombuffer(text, np.uint8).astype(np.int64)
+        if len(data) >= size:
+            found.append(sum(data[k : len(data) - size + 1 + k] << (8 * (size - 1 - k)) for k in range(size)))
+    return np.unique(np.concatenate(found), return_counts=True)
+
+
+def fit(labelled: list[tuple[str, bytes]], order: int = MAX_ORDER) -> Model:
+    """The whole trees of all languages over one set of contexts. Substrings of a text have their prefixes and suffixes in it too,
+    so the set is closed and every gram's shorter form is a gram."""
     languages = sorted({lang for lang, _ in labelled})
-    following: dict[bytes, list[Counter]] = {}
-    seen: Counter[bytes] = Counter()
-    grams: list[Counter] = []
-    for lang in languages:
-        own: Counter = Counter()
-        for k in range(order + 1):
-            for owner, text in labelled:
-                if owner == lang:
-                    own.update([text[i : i + k + 1] for i in range(len(text) - k)])
-        grams.append(own)
-        for gram, n in own.items():
-            seen[gram[:-1]] += n
-    alphabet = sorted({g[0] for own in grams for g in own if len(g) == 1})
-    classes = np.zeros(256, np.int64)
-    classes[alphabet] = np.arange(1, len(alphabet) + 1)
-    width = len(alphabet) + 1
-    contexts = max(1, min(contexts, cells // max(1, width * len(languages))))
-    kept: dict[bytes, int] = {b"": 0}
-    # By length, the most frequent first: a context stays only with its own prefix and suffix, so the automaton is complete.
-    chosen = {c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], len(x[0]), x[0]))[:contexts]}
-    for c in sorted(chosen, key=lambda c: (len(c), c)):
-        if c and c[:-1] in kept and c[1:] in kept:
-            kept[c] = len(kept)
-    for index, own in enumerate(grams):
-        for gram, n in own.items():
-            if gram[:-1] in kept:
-                following.setdefault(gram[:-1], [Counter() for _ in languages])[index][gram[-1]] += n
-    follow = np.zeros((len(kept), width), np.int32)
-    bits = np.zeros((len(kept), width, len(languages)), np.float32)
-    for c, state in kept.items():  # shorter contexts come first
-        shorter = kept[c[1:]] if c else 0
-        row = bits[shorter].astype(np.float64) if c else np.full((width, len(languages)), 8.0)
-        for index, counts in enumerate(following.get(c, ())):
-            total, distinct = sum(counts.values()), len(counts)
-            if total:
-                row[:, index] += np.log2((total + distinct) / distinct)
-                for byte, n in counts.items():
-                    row[classes[byte], index] = np.log2((total + distinct) / n)
-        bits[state] = row
-        if c:
-            follow[state] = follow[shorter]
-        for byte in alphabet:
-            longer = kept.get(c + bytes([byte]))
-            if longer is not None:
-                follow[state, classes[byte]] = longer
-    return Model(languages, classes, follow, bits.reshape(len(kept) * width, len(languages)))
+    counted = [[grams([t for owner, t in labelled if owner == lang], k) for k in range(1, order + 2)] for lang in languages]
+    every = [np.unique(np.concatenate([np.arange(256) if k == 0 else [], *[own[k][0] for own in counted]]).astype(np.int64)) for k in range(order + 1)]
+    contexts = [np.unique(codes >> 8) for codes in every]  # contexts[j]: those of j bytes
+    start = np.concatenate([[0], np.cumsum([len(c) for c in contexts])])
+    count = int(start[-1])
+    shorter, escapes = np.zeros(count, np.int64), np.zeros((count, len(languages)))
+    after, keys, follows, costs = np.zeros((count, 4), np.uint64), [], [], []
+    for k, codes in enumerate(every):  # grams of k + 1 bytes, after contexts of k bytes
+        local = np.searchsorted(contexts[k], codes >> 8)
+        seen = np.zeros((len(codes), len(languages)))
+        for index, own in enumerate(counted):
+            seen[np.searchsorted(codes, own[k][0]), index] = own[k][1]
+        total, distinct = np.zeros((2, len(contexts[k]), len(languages)))
+        np.add.at(total, local, seen)
+        np.add.at(distinct, local, seen > 0)
+        escape = np.where(total > 0, np.log2(np.maximum(total + distinct, 1) / np.maximum(distinct, 1)), 0)
+        place = np.searchsorted(every[k - 1], codes & ((1 << 8 * k) - 1)) if k else None
+        below = costs[-1][place] if k else 8.0
+        costs.append(np.where(seen > 0, np.log2(np.maximum((total + distinct)[local], 1) / np.maximum(seen, 1)), escape[local] + below))
+        follow = follows[-1][place] if k else np.zeros(len(codes), np.int64)
+        if k < order:
+            at = np.minimum(np.searchsorted(contexts[k + 1], codes), max(0, len(contexts[k + 1]) - 1))
+            known = contexts[k + 1][at] == codes if len(contexts[k + 1]) else np.zeros(len(codes), bool)
+            follow = np.where(known, start[k + 1] + at, follow)
+        follows.append(follow)
+        own = slice(start[k], start[k + 1])
+        escapes[own] = escape
+        if k:
+            shorter[own] = start[k - 1] + np.searchsorted(contexts[k - 1], contexts[k] & ((1 << 8 * (k - 1)) - 1))
+        np.bitwise_or.at(after, (start[k] + local, codes >> 6 & 3), np.uint64(1) << (codes & 63).astype(np.uint64))
+    first = np.concatenate([[0], np.cumsum(np.bitwise_count(after).ravel(), dtype=np.int64)[:-1]]).reshape(count, 4)
+    # Rows are already in the order of context and byte: contexts by length and number, grams by number.
+    return Model(languages, shorter, escapes.astype(np.float32), after, first, np.concatenate(follows), np.concatenate(costs).astype(np.float32))
+
+
+def find(model: Model, state: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each byte is known after its context, and its row if so."""
+    cell = state * 4 + (byte >> 6)
+    word, bit = model.after.ravel()[cell], (byte & 63).astype(np.uint64)
+    at = model.first.ravel()[cell] + np.bitwise_count(word & ((np.uint64(1) << bit) - np.uint64(1)))
+    return (word >> bit & np.uint64(1)).astype(bool), at
+
+
+def step(model: Model, state: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The contexts after a byte in each lane, and the byte's bits (lanes, languages)."""
+    known, at = find(model, state, byte)
+    missing = np.flatnonzero(~known)
+    fallen, spent = state[missing], []
+    while len(missing):  # at most MAX_ORDER times: the empty context has all bytes
+        spent.append((missing, model.escapes[fallen]))
+        fallen = model.shorter[fallen]
+        known, at[missing] = find(model, fallen, byte[missing])
+        missing, fallen = missing[~known], fallen[~known]
+    bits = model.bits[at]
+    for lanes, escapes in spent:
+        bits[lanes] += escapes
+    return model.follow[at], bits
 
 
 def code_lengths(model: Model, whole: list[bytes]) -> np.ndarray:
     """Bits of each text in each language: (texts, languages). Texts are cut into lanes that begin MAX_ORDER bytes early."""
-    width = model.follow.shape[1]
     out = np.zeros((len(whole), len(model.languages)))
     owners, starts, sizes, warm = [], [], [], []
     base = MAX_ORDER
@@ -125,24 +153,22 @@ def code_lengths(model: Model, whole: list[bytes]) -> np.ndarray:
             sizes.append(min(LANE, len(text) - at))
             warm.append(min(at, MAX_ORDER))
         base += len(text)
-    data = model.classes[np.frombuffer(b"\0" * MAX_ORDER + b"".join(whole) + b"\0" * LANE, np.uint8)]
-    follow = model.follow.ravel()
+    data = np.frombuffer(b"\0" * MAX_ORDER + b"".join(whole) + b"\0" * LANE, np.uint8).astype(np.int64)
     for a in range(0, len(owners), LANES):
         owner, start, size, early = (np.array(x[a : a + LANES]) for x in (owners, starts, sizes, warm))
-        longest = int(size.max())
+        by_size = np.argsort(-size, kind="stable")
+        owner, start, size, early = owner[by_size], start[by_size], size[by_size], early[by_size]
         state = np.zeros(len(owner), np.int64)
-        cells = np.zeros((longest, len(owner)), np.int32)
-        for k in range(-MAX_ORDER, longest):
-            cell = state * width + data[start + k]
+        spent = np.zeros((len(owner), len(model.languages)))
+        for k in range(-MAX_ORDER, int(size.max())):
+            live = int(np.searchsorted(-size, -k, side="left")) if k > 0 else len(owner)  # lanes longer than k come first
+            after, bits = step(model, state[:live], data[start[:live] + k])
             if k >= 0:
-                cells[k] = cell
-                state = follow[cell]
+                spent[:live] += bits
+                state[:live] = after
             else:  # a lane's own bytes begin from the context before it, which is no longer than MAX_ORDER
-                state = np.where(-k <= early, follow[cell], 0)
-        live = np.arange(longest)[:, None] < size[None, :]
-        for index in range(len(model.languages)):
-            spent = np.where(live, model.bits[:, index][cells], 0).sum(0, dtype=np.float64)
-            out[:, index] += np.bincount(owner, spent, len(whole))
+                state = np.where(-k <= early, after, 0)
+        np.add.at(out, owner, spent)
     return out
 
 
@@ -166,7 +192,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score of every whole text."""
     spark = docs.sparkSession
     short_batches(spark)
-    held = spark.sparkContext.broadcast(model)  # at most CELLS code lengths and as many transitions
+    held = spark.sparkContext.broadcast(model)  # about CELLS code lengths at most
 
     def run(batches):
         for batch in batches:
