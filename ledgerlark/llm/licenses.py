@@ -1,8 +1,10 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
 Passages of a file (its lines, its paragraphs, and of a licence file the whole text) are compared with the templates. Terms are
-lower-cased runs of letters and digits; document frequencies of the templates' terms are counted over all files, and a word outside the templates weighs as one
-that a single file holds. A file's own licence is the template with the highest cosine at or above the threshold.
+lower-cased runs of letters and digits ("v3" is "3"); the document frequencies of all terms are counted over all files. Tasks keep the
+passages that could reach the threshold if every word outside the templates had the least weight; their distinct bags of
+terms are joined with the frequencies, which gives their lengths and so their cosines. A template's numbers must all be in the
+passage, so that versions agree. A file's own licence is the template with the highest cosine at or above the threshold.
 A file without one inherits the licence of the nearest directory at or above its own that holds a licence file. Directories, not files,
 are expanded into their ancestors and joined by path.
 
@@ -13,6 +15,7 @@ rows are judged alike. An empty table gives an empty result. Columns other than
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -24,23 +27,58 @@ from pyspark.sql import functions as F
 from ledgerlark.llm.common import short_batches, written
 
 THRESHOLD = 0.75
-#: Statements by which licences are named (licence, statement).
+#: Terms that a task counts before it passes them on.
+TERMS_HELD = 500_000
+#: Statements and titles by which licences are named (licence, statement).
 TEMPLATES = (
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC0-1.0", "Released under CC0 1.0."),
+    ("CC0-1.0", "Creative Commons CC0 1.0 Universal Public Domain Dedication"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("ISC", "Released under the ISC License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("LGPL-2.1", "GNU Lesser General Public License Version 2.1, February 1999"),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Zlib", "This software is provided as-is, without any express or implied warranty."),
 )
 #: Base names of licence files begin with one of these, in any letter case.
 LICENCE_FILES = r"(?i)^(licen[cs]e|copying|copyright|notice)"
 _TERM = re.compile(r"[^\W_]+")
+_VERSION = re.compile(r"\bv(?=\d)")
 
 
 def terms(text: str) -> list[str]:
-    return _TERM.findall(text.lower())
+    return _TERM.findall(_VERSION.sub("", text.lower()))
 
 
 def passages(text: str, whole: bool) -> list[str]:
@@ -52,56 +90,80 @@ def passages(text: str, whole: bool) -> list[str]:
     return [*out, text] if whole else out
 
 
+def weight(frequency: int, files: int) -> float:
+    """Inverse document frequency; 1 for a term that every file holds, which is the least."""
+    return math.log((files + 1) / (frequency + 1)) + 1
+
+
 class Matcher:
-    """Cosines of passages to templates, with fixed document frequencies."""
+    """What tasks can tell of passages from the frequencies of the templates' terms alone."""
 
     def __init__(self, templates, frequency: dict[str, int], files: int):
-        self.idf = {t: math.log((files + 1) / (frequency.get(t, 0) + 1)) + 1 for _, s in templates for t in terms(s)}
-        self.other = math.log((files + 1) / 2) + 1
+        self.idf = {t: weight(frequency.get(t, 0), files) for _, s in templates for t in terms(s)}
         self.templates = []
         for name, statement in sorted(templates):
             weights = {t: n * self.idf[t] for t, n in Counter(terms(statement)).items()}
             norm = math.sqrt(sum(w * w for w in weights.values()))
-            self.templates.append((name, {t: w / norm for t, w in weights.items()}))
+            self.templates.append((name, {t: w / norm for t, w in weights.items()}, {t for t in weights if t.isdigit()}))
 
-    def best(self, text: str, whole: bool) -> tuple[str | None, float]:
-        """(licence, cosine) of the best passage at or above the threshold, else (None, best cosine)."""
-        top, name = 0.0, None
+    def possible(self, text: str, whole: bool) -> list[dict]:
+        """Passages that may reach the threshold: their products with licences, and what their length is made of."""
+        out, seen = [], set()
         for passage in passages(text, whole):
+            if passage in seen:
+                continue
+            seen.add(passage)
             counts = Counter(terms(passage))
             known = counts.keys() & self.idf.keys()
-            if not known:
-                continue
-            norm = math.sqrt(sum((n * self.idf.get(t, self.other)) ** 2 for t, n in counts.items()))
-            for licence, weights in self.templates:
-                cosine = round(sum(weights[t] * counts[t] * self.idf[t] for t in known if t in weights) / norm, 9)
-                if cosine > top:
-                    top, name = cosine, licence
-        return (name if top >= THRESHOLD else None), top
-
-
-def frequencies(files: DataFrame, templates=TEMPLATES) -> tuple[dict[str, int], int]:
-    """(files that hold each term of the templates, files). Counts are added up before they leave a task; a row a term is collected."""
+            square = sum((counts[t] * self.idf[t]) ** 2 for t in known)
+            least = square + sum(n * n for t, n in counts.items() if t not in known)
+            if square < THRESHOLD**2 * least or not known:
+                continue  # even a template of just the known terms would stay below
+            products: dict[str, float] = {}
+            for licence, weights, numbers in self.templates:
+                if numbers <= known:
+                    product = sum(weights[t] * counts[t] * self.idf[t] for t in known & weights.keys())
+                    if product >= THRESHOLD * math.sqrt(least) * (1 - 1e-9):
+                        products[licence] = max(product, products.get(licence, 0.0))
+            if products:
+                bag = sorted(counts.items())
+                others = [{"term": t, "n": n} for t, n in bag if t not in known]
+                digest = hashlib.sha256(repr(bag).encode()).digest()
+                out.append({"bag": digest, "square": square, "others": others, "products": [{"licence": k, "product": v} for k, v in sorted(products.items())]})
+        return out
+
+
+POSSIBLE = pa.list_(pa.struct({"bag": pa.binary(), "square": pa.float64(), "others": pa.list_(pa.struct({"term": pa.string(), "n": pa.int64()})), "products": pa.list_(pa.struct({"licence": pa.string(), "product": pa.float64()}))}))
+
+
+def frequencies(files: DataFrame) -> DataFrame:
+    """term, n: the files that hold each term; the empty term counts all files. Counts are added up before they leave a task."""
     short_batches(files.sparkSession)
-    known = {t for _, s in templates for t in terms(s)}
+
+    def rows(counts):
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
 
     def run(batches):
         counts: Counter[str] = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 counts[""] += 1
-                counts.update(known.intersection(terms(text)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
+                counts.update(set(terms(text)))
+                if len(counts) >= TERMS_HELD:
+                    yield rows(counts)
+                    counts.clear()
+        yield rows(counts)
 
-    rows = files.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    found = {r[0]: r[1] for r in rows}
-    return found, found.pop("", 0)
+    return files.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def own_licences(files: DataFrame, templates=TEMPLATES) -> DataFrame:
     """doc_id, path, licence, score, is_licence_file: what each file says itself. files: doc_id, path, text."""
     files = files.select(F.col("doc_id"), F.col("path").cast("string").alias("path"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    frequency, total = frequencies(files, templates)
+    counted = written(frequencies(files), "license-terms")
+    wanted = sorted({"", *(t for _, s in templates for t in terms(s))})  # a row a term of the templates
+    frequency = {r[0]: r[1] for r in counted.filter(F.col("term").isin(wanted)).collect()}
+    total = frequency.pop("", 0)
     matcher = Matcher(templates, frequency, total)
     named = re.compile(LICENCE_FILES)
 
@@ -109,11 +171,23 @@ def own_licences(files: DataFrame, templates=TEMPLATES) -> DataFrame:
         for batch in batches:
             paths = batch.column(1).to_pylist()
             whole = [bool(p and named.match(p.rpartition("/")[2])) for p in paths]
-            found = [matcher.best(t, w) for t, w in zip(batch.column(2).to_pylist(), whole, strict=True)]
-            arrays = [batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array(whole, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "path", "licence", "score", "is_licence_file"])
-
-    return files.mapInArrow(run, f"doc_id {files.schema['doc_id'].dataType.simpleString()}, path string, licence string, score double, is_licence_file boolean")
+            found = [matcher.possible(t, w) for t, w in zip(batch.column(2).to_pylist(), whole, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(whole, pa.bool_()), pa.array(found, POSSIBLE)], names=["doc_id", "path", "is_licence_file", "possible"])
+
+    bag = "array<struct<bag: binary, square: double, others: array<struct<term: string, n: long>>, products: array<struct<licence: string, product: double>>>>"
+    found = files.mapInArrow(run, f"doc_id {files.schema['doc_id'].dataType.simpleString()}, path string, is_licence_file boolean, possible {bag}")
+    found = written(found.withColumn("row", F.expr("uuid()")), "license-passages")  # without the texts
+    each = found.filter(F.size("possible") > 0).select("row", F.explode("possible").alias("p")).select("row", "p.*")
+    # Headers are copied widely: the length of a bag of terms is worked out once.
+    bags = each.groupBy("bag").agg(F.first("square").alias("square"), F.first("others").alias("others"))
+    idf = F.log((F.lit(total) + 1.0) / (F.coalesce("n", F.lit(0)) + 1.0)) + 1.0
+    other = bags.select("bag", "square", F.explode_outer("others").alias("o")).select("bag", "square", F.col("o.term").alias("term"), F.col("o.n").alias("times"))
+    norms = other.join(counted, "term", "left").groupBy("bag").agg(F.sqrt(F.first("square") + F.sum(F.coalesce(F.pow(F.col("times") * idf, 2), F.lit(0.0)))).alias("norm"))
+    scored = each.join(norms, "bag").select("row", "norm", F.explode("products").alias("p"))
+    scored = scored.select("row", F.col("p.licence").alias("licence"), F.round(F.col("p.product") / F.col("norm"), 9).alias("score")).filter(F.col("score") >= THRESHOLD)
+    best = scored.groupBy("row").agg(F.min(F.struct((-F.col("score")).alias("least"), "licence")).alias("best"))
+    says = found.drop("possible").join(best, "row", "left")
+    return says.select("doc_id", "path", F.col("best.licence").alias("licence"), (-F.col("best.least")).alias("score"), "is_licence_file")
 
 
 def directory_of(path):
