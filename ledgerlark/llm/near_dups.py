@@ -68,11 +68,11 @@ def _text_key(text, *names: str) -> list:
 
 
 def banded(sets: DataFrame) -> DataFrame:
-    """id, bucket: a row for each set and band."""
+    """id, order (none, doc_id, id), bucket: a row for each set and band."""
     width = 2 * ROWS
     at = F.sequence(F.lit(0), F.lit(BANDS - 1))
-    rows = sets.select("id", "registers", F.explode(at).alias("band"))
-    return rows.select("id", F.xxhash64("band", F.expr(f"substring(registers, band * {width} + 1, {width})")).alias("bucket"))
+    rows = sets.select("id", F.struct("none", "doc_id", "id").alias("order"), "registers", F.explode(at).alias("band"))
+    return rows.select("id", "order", F.xxhash64("band", F.expr(f"substring(registers, band * {width} + 1, {width})")).alias("bucket"))
 
 
 def _similar(left: list[bytes], right: list[bytes], n1, n2) -> np.ndarray:
@@ -208,17 +208,18 @@ def _grouped(docs: DataFrame, policy: Policy) -> DataFrame:
     keys = rows.filter("n > 0").groupBy("k1", "k2").agg(least)
     sets = written(keys.select("k1", "k2", F.monotonically_increasing_id().alias("id"), "least.*"), "sets")
     buckets = banded(sets)
-    shared = buckets.groupBy("bucket").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = written(buckets.join(shared.select("bucket", "centre"), "bucket"), "buckets")
+    # The centre is the set of the smallest doc_id: where copies follow their original, most meet it and become one component.
+    shared = buckets.groupBy("bucket").agg(F.min("order").alias("centre"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = written(buckets.join(shared.select("bucket", "centre"), "bucket").select("bucket", "id", "order", "centre"), "buckets")
     candidates = members.select("id").distinct()
     wanted = sets.join(candidates, "id", "left_semi").select("id", F.col("doc_id").alias("_doc"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"))
     here = texts(docs).select("doc_id", *_text_key(F.col("text"), "t1", "t2"), "text")
     same = here["doc_id"].eqNullSafe(wanted["_doc"]) & (here["t1"] == wanted["_t1"]) & (here["t2"] == wanted["_t2"])
     whole = written(here.join(wanted, same).select("id", "text").dropDuplicates(["id"]), "candidates")
 
-    nearest = members.filter("id > centre").groupBy("id").agg(F.min("centre").alias("u")).select("u", F.col("id").alias("v"))
+    nearest = members.filter("order > centre").groupBy("id").agg(F.min("centre").alias("least")).select(F.col("least.id").alias("u"), F.col("id").alias("v"))
     found = _joined(candidates.select("id", F.col("id").alias("component")), verified(nearest, sets, whole, policy))
-    stars = members.filter("id > centre").select(F.col("centre").alias("u"), F.col("id").alias("v")).distinct()
+    stars = members.filter("order > centre").select(F.col("centre.id").alias("u"), F.col("id").alias("v")).distinct()
     found = _joined(found, verified(_apart(stars, found), sets, whole, policy))
     sized = members.select("bucket", "id").join(found, "id").join(sets.select("id", "n"), "id")
     blocks = _blocks(sized).join(short_members(whole, policy.words), "id")
