@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm import exact_dedup, language_id, licenses, line_dedup, media, near_dups, packing, quality, sentencepieces, url_filters
+from ledgerlark.llm import alignment, exact_dedup, language_id, licenses, line_dedup, media, near_dups, packing, quality, sentencepieces, url_filters
 from ledgerlark.llm.common import table
 
 
@@ -56,7 +56,11 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode_documents(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_packing, op3_line_dedup, op4_url_filters, op5_media, op6_near_dedup, op7_quality, op8_language_id, op9_exact_dedup, op10_sentencepiece)}
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_packing, op3_line_dedup, op4_url_filters, op5_media, op6_near_dedup, op7_quality, op8_language_id, op9_exact_dedup, op10_sentencepiece, op12_token_alignment)}
 
 ORACLE_SQL = {
     "op3_line_dedup": r"""
