@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm import alignment, exact_dedup, language_id, licenses, line_dedup, media, near_dups, packing, quality, sentencepieces, url_filters
+from ledgerlark.llm import alignment, exact_dedup, hard_negatives, language_id, licenses, line_dedup, media, near_dups, packing, quality, secrets_scan, sentencepieces, url_filters
 from ledgerlark.llm.common import table
 
 
@@ -56,11 +56,20 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode_documents(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(hard_negatives.quantized(table(spark, sf_dir, "embeddings"), label), F.col("vec_id") % 100 == 0)
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_packing, op3_line_dedup, op4_url_filters, op5_media, op6_near_dedup, op7_quality, op8_language_id, op9_exact_dedup, op10_sentencepiece, op12_token_alignment)}
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_scan.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_packing, op3_line_dedup, op4_url_filters, op5_media, op6_near_dedup, op7_quality, op8_language_id, op9_exact_dedup, op10_sentencepiece, op11_hard_negatives, op12_token_alignment, op13_secret_scan)}
 
 ORACLE_SQL = {
     "op3_line_dedup": r"""
@@ -74,6 +83,7 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE gone))::BIGI
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id""",
     "op4_url_filters": url_filters.ORACLE_SQL,
+    "op11_hard_negatives": hard_negatives.ORACLE_SQL,
     "op9_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
        sha256(coalesce(text, '')) AS text_sha256
