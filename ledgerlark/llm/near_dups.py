@@ -5,8 +5,8 @@
    least set of its buckets. Of the candidates, those whose similarity is estimated (jointly, by likelihood) far below the
    threshold go; the rest are verified on their full sets.
 3. Only buckets that still hold several components need more: there every set outside the bucket's largest component is compared with all
-   sets of other components, block against block, by counting common shingles on 32 bits of each (never too few); what is left is
-   verified. Blocks are bounded by their shingles, so they bound what one task holds.
+   sets of other components, block against block, by counting common shingles on 32 bits of each (never too few), of near copies only
+   what they differ by; what is left is verified. Blocks are bounded by their shingles, so they bound what one task holds.
 4. Components come from star rounds over verified links. No link, set or component reaches the driver.
 
 With 40 bands of 6 registers, a pair of similarity 0.8 shares no bucket with probability 5e-6.
@@ -32,6 +32,8 @@ from ledgerlark.llm.graph import components
 BANDS, ROWS = 40, 6
 #: Shingles of a block when buckets are compared in blocks; a larger set is a block of its own.
 BLOCK = 200_000
+#: Sides of a block pair, and pivots that a block pair's sets are compared with.
+FIRST, SECOND, PIVOTS = 1, 2, 16
 #: Texts whose sets and sketches are computed together, in characters.
 TOGETHER = 1_000_000
 
@@ -116,7 +118,7 @@ def verified(pairs: DataFrame, sets: DataFrame, whole: DataFrame, policy: Policy
 def _blocks(rows: DataFrame) -> DataFrame:
     """Pairs of blocks to be compared: sets outside their bucket's largest component against all sets of the bucket.
 
-    rows: bucket, id, n, component. Returns bucket, i, j, first, id, n, component.
+    rows: bucket, id, n, component. Returns bucket, i, j, side (FIRST, SECOND or both), id, n, component: a set is once in a block pair.
     """
     per = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("n"))
     largest = F.max(F.struct("sets", "n", F.col("component").alias("c")))
@@ -125,8 +127,13 @@ def _blocks(rows: DataFrame) -> DataFrame:
     rows = rows.join(top, "bucket")
     rest_blocks, all_blocks = F.ceil(F.col("rest") / BLOCK).cast("int"), F.ceil(F.col("all") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), F.lit(2**31 - 1))
-    first = rows.filter("component <> largest").select("bucket", F.pmod(own, rest_blocks).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), all_blocks - 1)).alias("j"), F.lit(True).alias("first"), "id", "n", "component")
-    second = rows.select("bucket", F.explode(F.sequence(F.lit(0), rest_blocks - 1)).alias("i"), F.pmod(own, all_blocks).cast("int").alias("j"), F.lit(False).alias("first"), "id", "n", "component")
+    rows = rows.select("bucket", "id", "n", "component", (F.col("component") != F.col("largest")).alias("apart"), rest_blocks.alias("ni"), all_blocks.alias("nj"), own.alias("own"))
+    i, j = F.pmod("own", "ni").cast("int"), F.pmod("own", "nj").cast("int")
+    every = F.sequence(F.lit(0), F.col("nj") - 1)
+    first = rows.filter("apart").select("bucket", i.alias("i"), F.explode(every).alias("j"), j.alias("mine"), "id", "n", "component")
+    first = first.select("bucket", "i", "j", F.when(F.col("j") == F.col("mine"), FIRST | SECOND).otherwise(FIRST).alias("side"), "id", "n", "component")
+    second = rows.select("bucket", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), j.alias("j"), F.lit(SECOND).alias("side"), "id", "n", "component", "apart", i.alias("mine"))
+    second = second.filter(~F.col("apart") | (F.col("i") != F.col("mine"))).drop("apart", "mine")
     return first.unionByName(second)
 
 
@@ -144,35 +151,81 @@ def short_members(whole: DataFrame, words: int) -> DataFrame:
     return whole.select("id", "text").mapInArrow(run, "id long, members binary")
 
 
-def _compare_block(rows: pa.Table, percent: int) -> list[tuple[int, int]]:
-    """(u, v) of different components whose sets may be similar enough: each first row against the others."""
-    first = rows["first"].to_numpy()
-    ids, n, own = (rows[k].to_numpy() for k in ("id", "n", "component"))
-    members = rows["members"].to_pylist()
-    left, right = np.flatnonzero(first), np.flatnonzero(~first)
-    if not len(left) or not len(right):
-        return []
-    tokens = np.frombuffer(b"".join([members[k] for k in right]), "<u4")
-    order = np.argsort(tokens, kind="stable")
-    tokens, holder = tokens[order], np.repeat(np.arange(len(right)), [len(members[k]) // 4 for k in right])[order]
-    out = []
-    for k in left.tolist():
-        mine = np.frombuffer(members[k], "<u4")
-        begin, end = np.searchsorted(tokens, mine, "left"), np.searchsorted(tokens, mine, "right")
-        many = end - begin
-        at = np.repeat(begin - np.cumsum(many) + many, many) + np.arange(many.sum())
-        common = np.bincount(holder[at], minlength=len(right))
-        near = (own[right] != own[k]) & (100 * common >= percent * (n[k] + n[right] - common))
-        out += [(min(int(ids[k]), o), max(int(ids[k]), o)) for o in ids[right[near]].tolist()]
-    return out
+class _Block:
+    """Sets of a block pair. Sets that differ little from one of them, the pivot, are kept as what they differ by.
+
+    With C the pivot, S = C - D + A, and d(S) = D + A, two such sets have |C| - |D| - |D'| + |d(S) & d(S')| members in common, so a group of near copies
+    is compared by its differences alone. Other pairs are compared by their members. Members are 32 bits of a shingle, so as many
+    as were the same within a set are allowed for: what is found is never too few.
+    """
+
+    def __init__(self, rows: pa.Table, percent: int):
+        self.percent = percent
+        self.ids, self.n, self.own, side = (rows[k].to_numpy() for k in ("id", "n", "component", "side"))
+        self.left, self.right = (side & FIRST) > 0, (side & SECOND) > 0
+        self.members = [np.unique(np.frombuffer(m, "<u4")) for m in rows["members"].to_pylist()]
+        self.spare = self.n - np.array([len(m) for m in self.members])
+
+    def pairs(self) -> list[tuple[int, int]]:
+        found, rest = [], np.arange(len(self.ids))
+        for _ in range(PIVOTS):
+            if not len(rest):
+                break
+            pivot = int(rest[len(rest) // 2])
+            near, less, differing = self._around(pivot, rest)
+            names, size = near.tolist(), len(self.members[pivot])
+            some = near[self.left[near]]
+            found += self._meet(some, near[self.right[near]], dict(zip(names, differing, strict=True)), dict(zip(names, less.tolist(), strict=True)), size)
+            outside = self.right.copy()
+            outside[near] = False
+            found += self._meet(some, np.flatnonzero(outside), self.members)
+            rest = np.setdiff1d(rest, near, assume_unique=True)
+        return found + self._meet(rest[self.left[rest]], np.flatnonzero(self.right), self.members)
+
+    def _around(self, pivot: int, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """The sets that differ from the pivot by at most half of their members; for each |D| and D + A."""
+        centre = self.members[pivot]
+        sizes = np.array([len(self.members[k]) for k in rest])
+        rest = rest[(2 * sizes >= len(centre)) & (sizes <= 2 * len(centre))]
+        near, less, differing = [], [], []
+        for k in rest.tolist():
+            mine = self.members[k]
+            both = np.intersect1d(centre, mine, assume_unique=True)
+            if len(centre) + len(mine) - 2 * len(both) <= max(len(mine), 1) // 2:
+                near.append(k)
+                less.append(len(centre) - len(both))
+                differing.append(np.setxor1d(centre, mine, assume_unique=True))
+        return np.array(near, np.int64), np.array(less, np.int64), differing
+
+    def _meet(self, left: np.ndarray, right: np.ndarray, tokens, less: dict[int, int] | None = None, size: int = 0) -> list[tuple[int, int]]:
+        """Pairs that may be similar enough: common tokens are counted, for differences turned into common members."""
+        if not len(left) or not len(right):
+            return []
+        held = [tokens[k] for k in right.tolist()]
+        token, holder = np.concatenate(held), np.repeat(np.arange(len(right)), [len(h) for h in held])
+        order = np.argsort(token, kind="stable")
+        token, holder = token[order], holder[order]
+        base = np.array([size - less[k] for k in right.tolist()]) if less else 0
+        n, own, spare, ids = self.n[right], self.own[right], self.spare[right], self.ids[right]
+        out = []
+        for k in left.tolist():
+            begin, end = np.searchsorted(token, tokens[k], "left"), np.searchsorted(token, tokens[k], "right")
+            many = end - begin
+            at = np.repeat(begin - np.cumsum(many) + many, many) + np.arange(many.sum())
+            common = np.bincount(holder[at], minlength=len(right)) + np.minimum(spare, self.spare[k])
+            if less:
+                common = common + base - less[k]
+            near = (own != self.own[k]) & (100 * common >= self.percent * (self.n[k] + n - common))
+            out += [(min(int(self.ids[k]), o), max(int(self.ids[k]), o)) for o in ids[near].tolist()]
+        return out
 
 
 def compared(blocks: DataFrame, percent: int) -> DataFrame:
     """u, v of all block pairs: rows of a block lie together, and are compared once its last row has come."""
-    columns = ["bucket", "i", "j", "first", "id", "n", "component", "members"]
+    columns = ["bucket", "i", "j", "side", "id", "n", "component", "members"]
 
     def pairs(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        found = _compare_block(pa.Table.from_batches(parts), percent)
+        found = _Block(pa.Table.from_batches(parts), percent).pairs()
         return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
     def run(batches):

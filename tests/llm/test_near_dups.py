@@ -83,3 +83,30 @@ def test_repeated_rows(spark):
     found = sorted(tuple(r) for r in near_dups.groups(docs, near_dups.Policy(words=2)).collect())
     assert found == [(1, 5, 1, True), (1, 5, 1, True), (2, 5, 1, False)]
     assert [r.doc_id for r in near_dups.one_of_each(docs).collect()] == [1]
+
+
+@pytest.mark.parametrize(("size", "changed"), [(120, 0.03), (120, 0.08), (40, 0.5)])
+def test_blocks_find_every_similar_pair(size, changed):
+    """Groups of near copies, larger and smaller sets and strangers: nothing that reaches the threshold is left out, little more is found."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(size)
+    pools = [r.sample(range(2**32), size) for _ in range(3)]
+    sets = []
+    for k in range(90):
+        base = pools[k % 3][: size - k % 7]
+        sets.append(np.array([r.randrange(2**32) if r.random() < changed else x for x in base] + ([base[0]] if k % 11 == 0 else []), "<u4"))
+    sides = [r.choice((near_dups.FIRST, near_dups.SECOND, near_dups.FIRST | near_dups.SECOND)) for _ in sets]
+    rows = pa.table({"id": range(90), "n": list(map(len, sets)), "component": [k // 2 for k in range(90)], "side": sides, "members": pa.array([s.tobytes() for s in sets], pa.binary())})
+    found, expected = set(near_dups._Block(rows, 80).pairs()), set()
+    for a in range(90):
+        for b in range(90):
+            if sides[a] & near_dups.FIRST and sides[b] & near_dups.SECOND and a // 2 != b // 2:
+                both = len(np.intersect1d(sets[a], sets[b])) + min(len(sets[a]) - len(set(sets[a].tolist())), len(sets[b]) - len(set(sets[b].tolist())))
+                if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                    expected.add((min(a, b), max(a, b)))
+    assert found == expected
+    assert bool(expected) == (changed < 0.1)
