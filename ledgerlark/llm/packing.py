@@ -18,6 +18,7 @@ import json
 import re
 import zlib
 from array import array
+from collections import Counter
 from functools import cache
 
 import pyarrow as pa
@@ -31,8 +32,6 @@ SEQUENCE = 2048
 END_ID = 1
 PIECES_PER_BUCKET = 500_000
 LEAST_BUCKETS = 64
-#: Pieces shorter than this may be placed several at a time, which bounds the number of steps.
-SMALL = 64
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -109,8 +108,9 @@ def tokenize(docs: DataFrame, path: str, sequence: int = SEQUENCE, end_id: int =
 def place(histogram: dict[int, int], sequence: int = SEQUENCE) -> list[tuple[int, int, int, int, int]]:
     """(length, rank from, rank to, first sequence, offset): where the pieces of a length go, by rank.
 
-    Each step uses up a length or fills a whole pattern further; a pattern takes at most sequence / SMALL large pieces one by
-    one and one step for each small length that it takes. So there are at most about 100 steps a length, whatever the counts.
+    Each step lengthens one pattern, of as many sequences as it has or as pieces are left. Where no pattern has room, a new one gets as many sequences as
+    the pieces left fill, so that pieces of one length share sequences too. A step uses up a length or lengthens a whole pattern, so the number of steps
+    and of intervals depends on the lengths and not on their counts (some 30,000 for all lengths up to 2,048).
     """
     heap: list[tuple[int, int, int, list]] = []  # tokens, number (for ties), sequences, [(length, first rank, offset)]
     done, number = [], 0
@@ -119,24 +119,18 @@ def place(histogram: dict[int, int], sequence: int = SEQUENCE) -> list[tuple[int
         while left:
             if heap and heap[0][0] + length <= sequence:
                 tokens, _, many, items = heapq.heappop(heap)
-            else:
-                tokens, many, items = 0, 0, []
-            if not many:  # no room anywhere: as many new sequences as pieces are left
-                used, copies = left, 1
-            else:
-                used = min(left, many)
-                copies = max(1, min((sequence - tokens) // length, left // many)) if length < SMALL else 1
-                if used < many:
-                    rest = [(n, r + used, o) for n, r, o in items]
-                    number += 1
-                    heapq.heappush(heap, (tokens, number, many - used, rest))
-            new = [(length, rank + i * used, tokens + i * length) for i in range(copies)]
-            tokens += copies * length
+            else:  # no room anywhere
+                tokens, many, items = 0, -(-left // (sequence // length)), []
+            used = min(left, many)
+            if used < many:
+                rest = [(n, r + used, o) for n, r, o in items]
+                number += 1
+                heapq.heappush(heap, (tokens, number, many - used, rest))
             number += 1
-            entry = (tokens, number, used, items + new)
-            done.append(entry) if tokens == sequence else heapq.heappush(heap, entry)
-            rank += copies * used
-            left -= copies * used
+            entry = (tokens + length, number, used, [*items, (length, rank, tokens)])
+            done.append(entry) if tokens + length == sequence else heapq.heappush(heap, entry)
+            rank += used
+            left -= used
     out, base = [], 0
     for _, _, many, items in done + heap:
         out += [(n, r, r + many, base, o) for n, r, o in items]
@@ -156,8 +150,15 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     within = Window.partitionBy("length", "_bucket").orderBy("doc_id", "start")
     ranked = pieces.withColumn("_row", F.row_number().over(within)).join(bases, ["length", "_bucket"])
     ranked = ranked.withColumn("_rank", F.col("_base") + F.col("_row") - 1)
-    intervals = spark.createDataFrame(place(histogram, sequence), "length long, _from long, _to long, _first long, _offset long")
-    placed = ranked.join(F.broadcast(intervals), (ranked["length"] == intervals["length"]) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))).drop(intervals["length"])
+    # Intervals are cut at multiples of their mean width (of the length), so that a piece meets one or two of them and not all of its length.
+    intervals = place(histogram, sequence)
+    many = Counter(n for n, *_ in intervals)
+    width = {n: -(-histogram[n] // many[n]) for n in many}
+    cut = [(n, slot, a, b, first, offset) for n, a, b, first, offset in intervals for slot in range(a // width[n], (b - 1) // width[n] + 1)]
+    widths = spark.createDataFrame(sorted(width.items()), "length long, _width long")
+    slots = spark.createDataFrame(cut, "length long, _slot long, _from long, _to long, _first long, _offset long")
+    ranked = ranked.join(F.broadcast(widths), "length").withColumn("_slot", F.call_function("div", F.col("_rank"), F.col("_width")))
+    placed = ranked.join(F.broadcast(slots), ["length", "_slot"]).filter((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
     kept = [c for c in pieces.columns if c != "_bucket"]
     return placed.select(*kept, (F.col("_first") + F.col("_rank") - F.col("_from")).alias("sequence_id"), F.col("_offset").alias("offset"))
 
