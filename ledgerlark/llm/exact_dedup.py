@@ -1,8 +1,8 @@
 """Exact deduplication by a persistent digest index.
 
 The index is a table bucketed and sorted by the SHA-256 digest of the text. A batch is reduced to one row
-a digest, laid out in the same buckets, and deduplicated by a sort-merge anti-join: the index side is read as it
-lies, without a shuffle or a sort. New digests are appended.
+a digest and written, laid out in the same buckets, and deduplicated by a sort-merge anti-join: the index side is read as it
+lies, without a shuffle. (Spark sorts a bucket again when reading it, unless it is known to be one file.) New digests are appended.
 
 Defined results. Null and empty texts are equal (the empty text). Of equal texts the largest doc_id stays; rows
 that repeat a doc_id with the same text are one document and share its fate. A null doc_id never stays unless its
@@ -36,10 +36,11 @@ class DigestIndex:
         return self.spark.table(self.name)
 
     def unseen(self, groups: DataFrame) -> DataFrame:
-        """The groups whose digest the index does not hold."""
-        laid = groups.repartition(self.buckets, "digest")
+        """The groups whose digest the index does not hold. They are written first, as Spark would else move the anti-join below
+        the grouping and shuffle every row of a hot text."""
         if not self.exists():
-            return laid
+            return groups.repartition(self.buckets, "digest")
+        laid = written(groups, "digest-groups").repartition(self.buckets, "digest")
         return laid.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
 
     def append(self, groups: DataFrame) -> None:
@@ -56,7 +57,7 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def groups_of(rows: DataFrame) -> DataFrame:
-    """One row a digest; counts are combined before the shuffle, so a hot text costs one row a task."""
+    """One row a digest. Where this is read as it is, counts are combined before the shuffle, so a hot text costs one row a task."""
     return rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
 
 

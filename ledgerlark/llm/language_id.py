@@ -6,9 +6,13 @@ to 1 of 256. Statistics are frozen after fitting: no context of the trees is cut
 that follow it in any language as a bit map, whose rank is the row of code lengths. A text's score in a language is its exact code length; the shortest wins.
 
 The trees are fitted on a bounded sample of labelled documents: whole documents in the order of a hash of their id, at most
-DOCS_A_LANGUAGE of a language and BYTES_A_LANGUAGE bytes (beyond one document); longer documents are only predicted. Of labels, the
-LANGUAGES most frequent are learned, and with many of them fewer bytes of each, so that the model has at most about CELLS
-code lengths: a byte of the sample adds no more than MAX_ORDER + 1 grams of one code length a language. That bounds the broadcast.
+DOCS_A_LANGUAGE of a language and BYTES_A_LANGUAGE bytes, or an even share of SAMPLE_BYTES if that is less (beyond one document). Documents of more than
+BYTES_A_LANGUAGE bytes are only predicted, unless a language has no other: then the beginning of one is learned. Every label is
+learned. GROUP languages share a set of contexts, and a byte of the sample adds at most MAX_ORDER + 1 grams of one code length for each of them; that
+bounds the broadcast. A language's code lengths do not depend on which others are in its group.
+
+The pipeline keeps a text only if its best language says something about it: the code may take no more bits a byte than ROOM times the
+most that any document set aside in fitting took, and never more than the 8 bits of a uniform code; SHORT bits are free.
 
 Defined results. A null text or one without any letter is "und" with score 0. score is the language's posterior from the code
 lengths, all languages being as likely before; ties go to the first language in alphabetical order. Repeated rows are predicted alike. Without labelled
@@ -30,12 +34,13 @@ from ledgerlark.llm.common import crc32_of_id, short_batches, texts
 
 MAX_ORDER = 4
 DOCS_A_LANGUAGE, BYTES_A_LANGUAGE = 300, 600_000
-LANGUAGES, CELLS = 64, 50_000_000
+SAMPLE_BYTES, GROUP = 2_400_000, 8
 #: Bytes of a lane, and lanes that are stepped together.
 LANE, LANES = 256, 4096
 UNKNOWN = "und"
-#: accepted() keeps documents whose language is at least so likely.
+#: accepted() keeps documents whose language is at least so likely, with codes bounded by these (see above); one of ASIDE documents is set aside.
 LEAST_SCORE = 0.5
+ROOM, SHORT, ASIDE, FEWEST = 1.5, 96, 5, 5
 
 
 @dataclass(frozen=True)
@@ -49,23 +54,46 @@ class Model:
     bits: np.ndarray  # row, language -> code length of the byte after the context
 
 
-def sample(docs: DataFrame, doc_limit: int = DOCS_A_LANGUAGE, byte_limit: int = BYTES_A_LANGUAGE, most: int = LANGUAGES, cells: int = CELLS) -> list[tuple[str, bytes]]:
-    """(lang, text) of the bounded sample: labelled documents in training folds, in the order of a hash of their id."""
+def sample(docs: DataFrame, doc_limit: int = DOCS_A_LANGUAGE, byte_limit: int = BYTES_A_LANGUAGE, total: int = SAMPLE_BYTES) -> list[tuple[str, bytes, int]]:
+    """(lang, text, number within the language) of the bounded sample: labelled documents in training folds, in the order of a hash of their id."""
     learn = docs.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), "text").filter((crc32_of_id(F.col("doc_id")) % 5 != 0) & F.col("lang").isNotNull())
     bytes_of = F.octet_length("text").cast("long")
-    learn = learn.filter(bytes_of <= byte_limit)
-    counts = {r[0]: r[1] for r in learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()}
+    long = bytes_of > byte_limit
+    counts = {r[0]: (r[1], r[2]) for r in learn.filter("text is not null").groupBy("lang").agg(F.count_if(~long), F.min(F.when(long, F.xxhash64("doc_id")))).collect()}  # a row a label
     if not counts:
         return []
-    byte_limit = min(byte_limit, cells // (len(counts) ** 2 * (MAX_ORDER + 1)))
+    even = min(byte_limit, max(1, total // len(counts)))
     # Of each language, the share that gives a little more than the limit; then exactly the first of them.
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 1.5 * doc_limit / n)))])
+    names = learn.sparkSession.createDataFrame([(lang, min(1.0, 1.5 * doc_limit / n) if n else 0.0, None if n else least) for lang, (n, least) in counts.items()], "lang string, share double, least long")
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    some = learn.filter(spread < share[F.col("lang")]).withColumn("spread", F.xxhash64("doc_id"))
+    only = F.coalesce(F.xxhash64("doc_id") == F.col("least"), F.lit(False))
+    some = learn.join(F.broadcast(names), "lang").filter((~long & (spread < F.col("share"))) | (long & only))
+    some = some.select("lang", "doc_id", F.when(long, F.substring("text", 1, even)).otherwise(F.col("text")).alias("text"), F.xxhash64("doc_id").alias("spread"))
     order = Window.partitionBy("lang").orderBy("spread", "doc_id", "text")
     some = some.withColumn("row", F.row_number().over(order)).withColumn("bytes", F.sum(bytes_of).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    some = some.filter((F.col("row") <= doc_limit) & (F.coalesce("bytes", F.lit(0)) < byte_limit)).select("lang", "text")
-    return [(r[0], r[1].encode()) for r in some.collect()]  # bounded by the limits
+    some = some.filter((F.col("row") <= doc_limit) & (F.coalesce("bytes", F.lit(0)) < even)).select("lang", "text", "row")
+    return sorted((r[0], r[1].encode(), r[2]) for r in some.collect())  # bounded by the limits
+
+
+def learned(some: list[tuple[str, bytes, int]]) -> list[Model]:
+    """Models of all languages of a sample, GROUP languages each, in alphabetical order."""
+    names = sorted({lang for lang, _, _ in some})
+    groups = [set(names[a : a + GROUP]) for a in range(0, len(names), GROUP)]
+    return [fit([(lang, text) for lang, text, _ in some if lang in own]) for own in groups]
+
+
+def bounded(some: list[tuple[str, bytes, int]]) -> tuple[list[Model], np.ndarray]:
+    """Models of a sample without what is set aside, and for each language the most bits a byte that its texts may take."""
+    aside = [x for x in some if x[2] % ASIDE == 0 and x[1]]
+    models = learned([x for x in some if x[2] % ASIDE])
+    languages = [lang for m in models for lang in m.languages]
+    bits = code_lengths(models, [text for _, text, _ in aside])
+    most = np.full(len(languages), 8.0)
+    for k, lang in enumerate(languages):
+        own = [row[k] / len(text) for row, (owner, text, _) in zip(bits, aside, strict=True) if owner == lang]
+        if len(own) >= FEWEST:
+            most[k] = min(8.0, ROOM * max(own))
+    return models, most
 
 
 def grams(whole: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,8 +169,13 @@ def step(model: Model, state: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray,
     return model.follow[at], bits
 
 
-def code_lengths(model: Model, whole: list[bytes]) -> np.ndarray:
-    """Bits of each text in each language: (texts, languages). Texts are cut into lanes that begin MAX_ORDER bytes early."""
+def code_lengths(models: list[Model], whole: list[bytes]) -> np.ndarray:
+    """Bits of each text in each language: (texts, languages)."""
+    return np.hstack([np.zeros((len(whole), 0)), *[_code_lengths(m, whole) for m in models]])
+
+
+def _code_lengths(model: Model, whole: list[bytes]) -> np.ndarray:
+    """code_lengths() of one model. Texts are cut into lanes that begin MAX_ORDER bytes early."""
     out = np.zeros((len(whole), len(model.languages)))
     owners, starts, sizes, warm = [], [], [], []
     base = MAX_ORDER
@@ -172,27 +205,30 @@ def code_lengths(model: Model, whole: list[bytes]) -> np.ndarray:
     return out
 
 
-def decide(model: Model, whole: list[str]) -> tuple[list[str], list[float]]:
-    """Language and score of each text."""
+def decide(models: list[Model], whole: list[str], most: np.ndarray | None = None) -> tuple[list[str], list[float]]:
+    """Language and score of each text; with the most bits a byte, texts beyond them are in no language."""
     from ledgerlark.llm.media import runs
 
+    languages = [lang for m in models for lang in m.languages]
     lang, score = [UNKNOWN] * len(whole), [0.0] * len(whole)
     for a, b in runs([len(t) for t in whole], LANE * LANES):
-        some = [i for i in range(a, b) if model.languages and any(map(str.isalpha, whole[i]))]
+        some = [i for i in range(a, b) if languages and any(map(str.isalpha, whole[i]))]
         if some:
-            bits = code_lengths(model, [whole[i].encode() for i in some])
+            raw = [whole[i].encode() for i in some]
+            bits = code_lengths(models, raw)
             chance = np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000))
             chance /= chance.sum(1, keepdims=True)
-            for i, best, row in zip(some, bits.argmin(1).tolist(), chance, strict=True):
-                lang[i], score[i] = model.languages[best], float(row[best])
+            for i, best, row, own, text in zip(some, bits.argmin(1).tolist(), chance, bits, raw, strict=True):
+                if most is None or own[best] <= most[best] * len(text) + SHORT:
+                    lang[i], score[i] = languages[best], float(row[best])
     return lang, score
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
+def predict(docs: DataFrame, models: list[Model]) -> DataFrame:
     """doc_id, lang_pred, score of every whole text."""
     spark = docs.sparkSession
     short_batches(spark)
-    held = spark.sparkContext.broadcast(model)  # about CELLS code lengths at most
+    held = spark.sparkContext.broadcast(models)  # at most SAMPLE_BYTES * (MAX_ORDER + 1) * GROUP code lengths, most often a tenth
 
     def run(batches):
         for batch in batches:
@@ -203,20 +239,22 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The documents in a known language, with all their columns, filtered where they lie: "und" and scores under the least go."""
+    """The documents in a learned language, with all their columns, filtered where they lie: "und", scores under the least and texts
+    that no language's code fits go (see the module's text). Null and empty texts go; an empty table stays one."""
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(fit(sample(docs)))
+    held = spark.sparkContext.broadcast(bounded(sample(docs)))
     short_batches(spark)
 
     def run(batches):
         for batch in batches:
-            _, score = decide(held.value, [t or "" for t in batch.column("text").to_pylist()])
-            yield batch.filter(pa.array(np.array(score) >= least))
+            models, most = held.value
+            lang, score = decide(models, [t or "" for t in batch.column("text").to_pylist()], most)
+            yield batch.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(lang, score, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """Fit on the training folds of docs (doc_id, text, lang) and predict all of them; held_out marks the fold not learned from."""
-    found = predict(docs, fit(sample(docs)))
+    found = predict(docs, learned(sample(docs)))
     return found.select("doc_id", (crc32_of_id(F.col("doc_id")) % 5 == 0).alias("held_out"), "lang_pred", "score")

@@ -245,7 +245,7 @@ def test_code_lengths_by_hand():
             for i in range(len(text) - k):
                 trees.setdefault((lang, text[i : i + k]), Counter())[text[i + k]] += 1
     for text in (b"abba banana", b"zzz", b"cadabra" * 400):
-        found = language_id.code_lengths(model, [text])[0]
+        found = language_id.code_lengths([model], [text])[0]
         for n, lang in enumerate(model.languages):
             bits = 0.0
             for i, byte in enumerate(text):
