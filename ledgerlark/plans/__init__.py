@@ -5,14 +5,14 @@ from pyspark.sql import functions as F
 from ledgerlark.functions.times import exact_age
 from ledgerlark.operators import markets
 from ledgerlark.operators.latest import latest
-from ledgerlark.plans import decisions, records, relational
+from ledgerlark.plans import decisions, gates, records, relational
 from ledgerlark.plans.common import plain, table
 
 
 def registered() -> tuple[dict, dict]:
     """(queries, SQL) by name."""
     queries, sql = {"latest_quotes": flagship}, {"latest_quotes": FLAGSHIP_SQL}
-    for module in (relational, decisions, records):
+    for module in (relational, decisions, records, gates):
         queries |= module.R.queries
         sql |= module.R.sql
     return queries, sql
