@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ledgerlark.operators import matcher
+from ledgerlark.operators import capital, matcher
 from ledgerlark.plans.common import Registry
 
 R = Registry()
@@ -75,3 +75,52 @@ SELECT market_id, CASE WHEN reason = 'matched' THEN 'matched' WHEN reason IN ('l
 def rul19_market_matches(t):
     policy = matcher.Policy(margin="0.05", window_hours=168)
     return matcher.match(contracts(t), teams(t), games(t), ["title", "sides", "rules"], SEGMENTS, policy, longest=2)
+
+
+#: Lines of orders as decisions of a supplier's account: a proposal is the account's for a brand and line, held for so many days as units are ordered; high taxes use it.
+DECISIONS = """d AS (SELECT l_orderkey * 1000000000 + l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS id, l_suppkey AS account, l_linestatus AS snapshot, p_brand || '/' || l_linenumber AS proposal, p_type AS market,
+  CASE WHEN l_discount >= 0.05 THEN 'yes' ELSE 'no' END AS direction, p_brand AS team, CASE l_returnflag WHEN 'A' THEN 'auto_approve' WHEN 'R' THEN 'require_human_approval' ELSE 'reject' END AS kind,
+  l_extendedprice::DECIMAL(18,2) AS capital, l_shipdate AS at, CASE WHEN l_returnflag <> 'N' THEN l_shipdate + to_days(l_quantity::INT) END AS valid_until,
+  CASE WHEN l_returnflag = 'A' AND l_tax >= 0.07 THEN l_shipdate + to_days(l_linenumber) END AS used_at, CASE WHEN l_returnflag = 'A' AND l_tax >= 0.07 AND l_tax < 0.075 THEN l_shipdate + to_days(l_linenumber + l_quantity::INT) END AS closed_at
+  FROM lineitem JOIN part ON p_partkey = l_partkey)"""
+AUTHORIZED = """seen AS (SELECT r.id, d.id AS other, d.proposal, d.kind, d.capital, d.market = r.market AND d.direction = r.direction AND d.team = r.team AS same FROM d r JOIN d ON d.account = r.account AND d.snapshot = r.snapshot AND d.proposal <> r.proposal
+  AND (d.at < r.at OR d.at = r.at AND d.id < r.id) AND r.at < least(d.valid_until, d.used_at) QUALIFY row_number() OVER (PARTITION BY r.id, d.proposal ORDER BY d.at DESC, d.id DESC) = 1),
+sums AS (SELECT id, sum(capital) FILTER (kind = 'auto_approve') AS authorized, bool_or(same) AS same FROM seen GROUP BY 1),
+opened AS (SELECT DISTINCT r.id FROM d r JOIN d ON d.account = r.account AND d.market = r.market AND d.used_at <= r.at AND coalesce(r.at < d.closed_at, true)),
+a AS (SELECT d.*, coalesce(s.authorized, 0)::DECIMAL(28,2) AS authorized, coalesce(s.same, false) OR o.id IS NOT NULL AS duplicate FROM d LEFT JOIN sums s ON s.id = d.id LEFT JOIN opened o ON o.id = d.id)"""
+
+
+def decisions(t):
+    """See DECISIONS."""
+    days = lambda n: F.col("l_shipdate").cast("timestamp") + F.make_dt_interval(days=n.cast("int"))
+    flag = F.col("l_returnflag")
+    used = (flag == "A") & (F.col("l_tax") >= 0.07)
+    return t("lineitem").join(t("part"), F.col("p_partkey") == F.col("l_partkey")).select(
+        (F.col("l_orderkey") * 1_000_000_000 + F.col("l_partkey") * 100_000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("decision_id"),
+        F.col("l_suppkey").alias("account"),
+        F.col("l_linestatus").alias("snapshot"),
+        F.concat("p_brand", F.lit("/"), F.col("l_linenumber").cast("string")).alias("proposal"),
+        F.col("p_type").alias("market"),
+        F.when(F.col("l_discount") >= 0.05, "yes").otherwise("no").alias("direction"),
+        F.col("p_brand").alias("team"),
+        F.when(flag == "A", "auto_approve").when(flag == "R", "require_human_approval").otherwise("reject").alias("kind"),
+        F.col("l_extendedprice").cast("decimal(18,2)").alias("capital"),
+        F.col("l_shipdate").cast("timestamp").alias("evaluated_at"),
+        F.when(flag != "N", days(F.col("l_quantity"))).alias("valid_until"),
+        F.when(used, days(F.col("l_linenumber"))).alias("used_at"),
+        F.when(used & (F.col("l_tax") < 0.075), days(F.col("l_linenumber") + F.col("l_quantity"))).alias("closed_at"),
+    )
+
+
+def authorized(t):
+    """request_id, authorized, duplicate of every decision, asked for when it was made."""
+    made = decisions(t)
+    requests = made.select(F.col("decision_id").alias("request_id"), "account", "snapshot", "proposal", "market", "direction", "team", F.col("evaluated_at").alias("at"))
+    used = made.filter("used_at is not null")
+    positions = used.select("account", "market", F.col("used_at").alias("opened_at"), "closed_at")
+    return capital.authorized(requests, made.drop("used_at", "closed_at"), used.select("decision_id", "used_at"), positions)
+
+
+@R.add(f"WITH {DECISIONS}, {AUTHORIZED} SELECT id AS request_id, authorized::DOUBLE AS authorized, duplicate FROM a")
+def rul6_authorized_capital(t):
+    return authorized(t)
