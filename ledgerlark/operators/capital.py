@@ -1,7 +1,7 @@
 """Capital that other proposals hold at an instant, and intents that they cover already: a sweep over authorise, expire and consume instants.
 
-Running sums are taken within slices of time and carried over by the slices' totals, so an account with very many decisions is
-no single task.
+The sums over a whole account, or its market, are taken within slices of time and carried over by the slices' totals, so an account with very many
+decisions is no single task; those over one proposal or intent are plain windows.
 """
 
 from __future__ import annotations
@@ -66,14 +66,13 @@ def authorized(requests: DataFrame, decisions: DataFrame, used: DataFrame, posit
     rows = asked.unionByName(change("from", 1)).unionByName(change("to", -1))
     order = ["at", "phase", "oid", "sub", "request_id"]
     own, intent = ["account", "snapshot", "proposal"], ["account", "snapshot", "market", "direction", "team"]
+    upto = lambda keys, c: F.sum(c).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     rows = running(rows, own[:2], order, "at", {"held": "amount"}, days)
-    rows = running(rows, own, order, "at", {"own": "amount"}, days)
-    rows = running(rows, intent, order, "at", {"same": "n"}, days)
-    rows = running(rows, [*intent, "proposal"], order, "at", {"own_same": "n"}, days)
-    sums = rows.filter("sub = 0").select("request_id", "account", "market", "at", (F.col("held") - F.col("own")).alias("authorized"), (F.col("same") - F.col("own_same")).alias("others"))
-    opened = positions.select("account", "market", F.col("opened_at").alias("at"), F.lit(1).alias("n"))
-    closed = positions.filter("closed_at is not null").select("account", "market", F.col("closed_at").alias("at"), F.lit(-1).alias("n"))
-    moves = opened.unionByName(closed).withColumns({"sub": F.lit(0), "request_id": none, "authorized": F.lit(None).cast("decimal(38,2)"), "others": none})
-    rows = sums.withColumns({"n": F.lit(0), "sub": F.lit(1)}).unionByName(moves)
-    rows = running(rows, ["account", "market"], ["at", "sub", "request_id"], "at", {"open": "n"}, days)
-    return rows.filter("sub = 1").select("request_id", F.col("authorized").cast("decimal(28,2)").alias("authorized"), ((F.col("others") > 0) | (F.col("open") > 0)).alias("duplicate"))
+    rows = rows.withColumns({"own": upto(own, "amount"), "own_same": upto([*intent, "proposal"], "n")}).withColumn("same", upto(intent, "n"))
+    sums = rows.filter("sub = 0").select("request_id", (F.col("held") - F.col("own")).alias("authorized"), (F.col("same") - F.col("own_same")).alias("others"))
+    moves = positions.select("account", "market", F.col("opened_at").alias("at"), F.lit(1).alias("n"))
+    moves = moves.unionByName(positions.filter("closed_at is not null").select("account", "market", F.col("closed_at").alias("at"), F.lit(-1).alias("n")))
+    asking = asked.select("account", "market", "at", "request_id", F.lit(0).alias("n"), F.lit(1).alias("sub")).unionByName(moves.withColumns({"request_id": none, "sub": F.lit(0)}))
+    seen = running(asking, ["account", "market"], ["at", "sub", "request_id"], "at", {"open": "n"}, days).filter("sub = 1").select("request_id", "open")
+    rows = sums.join(seen, "request_id")
+    return rows.select("request_id", F.col("authorized").cast("decimal(28,2)").alias("authorized"), ((F.col("others") > 0) | (F.col("open") > 0)).alias("duplicate"))

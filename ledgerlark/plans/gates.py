@@ -1,8 +1,9 @@
 """Queries of the matcher, the risk gate, authorized capital and the position lifecycle, bound to the synthetic tables."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ledgerlark.operators import capital, matcher
+from ledgerlark.operators import capital, markets, matcher, risk
 from ledgerlark.plans.common import Registry
 
 R = Registry()
@@ -78,11 +79,12 @@ def rul19_market_matches(t):
 
 
 #: Lines of orders as decisions of a supplier's account: a proposal is the account's for a brand and line, held for so many days as units are ordered; high taxes use it.
-DECISIONS = """d AS (SELECT l_orderkey * 1000000000 + l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS id, l_suppkey AS account, l_linestatus AS snapshot, p_brand || '/' || l_linenumber AS proposal, p_type AS market,
+DECISIONS = """lines AS (SELECT *, l_orderkey * 1000000000 + l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS id FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey * 1000000000 + l_partkey * 100000 + l_suppkey * 10 + l_linenumber ORDER BY l_shipdate, l_extendedprice) = 1),
+d AS (SELECT id, l_suppkey AS account, l_linestatus AS snapshot, p_brand || '/' || l_linenumber AS proposal, p_type AS market,
   CASE WHEN l_discount >= 0.05 THEN 'yes' ELSE 'no' END AS direction, p_brand AS team, CASE l_returnflag WHEN 'A' THEN 'auto_approve' WHEN 'R' THEN 'require_human_approval' ELSE 'reject' END AS kind,
   l_extendedprice::DECIMAL(18,2) AS capital, l_shipdate AS at, CASE WHEN l_returnflag <> 'N' THEN l_shipdate + to_days(l_quantity::INT) END AS valid_until,
   CASE WHEN l_returnflag = 'A' AND l_tax >= 0.07 THEN l_shipdate + to_days(l_linenumber) END AS used_at, CASE WHEN l_returnflag = 'A' AND l_tax >= 0.07 AND l_tax < 0.075 THEN l_shipdate + to_days(l_linenumber + l_quantity::INT) END AS closed_at
-  FROM lineitem JOIN part ON p_partkey = l_partkey)"""
+  FROM lines JOIN part ON p_partkey = l_partkey)"""
 AUTHORIZED = """seen AS (SELECT r.id, d.id AS other, d.proposal, d.kind, d.capital, d.market = r.market AND d.direction = r.direction AND d.team = r.team AS same FROM d r JOIN d ON d.account = r.account AND d.snapshot = r.snapshot AND d.proposal <> r.proposal
   AND (d.at < r.at OR d.at = r.at AND d.id < r.id) AND r.at < least(d.valid_until, d.used_at) QUALIFY row_number() OVER (PARTITION BY r.id, d.proposal ORDER BY d.at DESC, d.id DESC) = 1),
 sums AS (SELECT id, sum(capital) FILTER (kind = 'auto_approve') AS authorized, bool_or(same) AS same FROM seen GROUP BY 1),
@@ -90,13 +92,20 @@ opened AS (SELECT DISTINCT r.id FROM d r JOIN d ON d.account = r.account AND d.m
 a AS (SELECT d.*, coalesce(s.authorized, 0)::DECIMAL(28,2) AS authorized, coalesce(s.same, false) OR o.id IS NOT NULL AS duplicate FROM d LEFT JOIN sums s ON s.id = d.id LEFT JOIN opened o ON o.id = d.id)"""
 
 
+def lines(t):
+    """Lines with a number; of those that share one, the first."""
+    number = F.col("l_orderkey") * 1_000_000_000 + F.col("l_partkey") * 100_000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")
+    order = Window.partitionBy("decision_id").orderBy("l_shipdate", "l_extendedprice")
+    return t("lineitem").withColumn("decision_id", number).withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+
+
 def decisions(t):
     """See DECISIONS."""
     days = lambda n: F.col("l_shipdate").cast("timestamp") + F.make_dt_interval(days=n.cast("int"))
     flag = F.col("l_returnflag")
     used = (flag == "A") & (F.col("l_tax") >= 0.07)
-    return t("lineitem").join(t("part"), F.col("p_partkey") == F.col("l_partkey")).select(
-        (F.col("l_orderkey") * 1_000_000_000 + F.col("l_partkey") * 100_000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("decision_id"),
+    return lines(t).join(t("part"), F.col("p_partkey") == F.col("l_partkey")).select(
+        "decision_id",
         F.col("l_suppkey").alias("account"),
         F.col("l_linestatus").alias("snapshot"),
         F.concat("p_brand", F.lit("/"), F.col("l_linenumber").cast("string")).alias("proposal"),
@@ -124,3 +133,81 @@ def authorized(t):
 @R.add(f"WITH {DECISIONS}, {AUTHORIZED} SELECT id AS request_id, authorized::DOUBLE AS authorized, duplicate FROM a")
 def rul6_authorized_capital(t):
     return authorized(t)
+
+
+#: Lines as proposals at the risk gate: money, prices and times are the line's own, states hang on the part's size so that each check fails for some size.
+PROPOSALS = """x AS (SELECT a.*, p_size AS z, l_shipdate + INTERVAL 12 HOUR AS now, l_linenumber AS n, l_quantity::INT AS q, o_orderkey, l_partkey, l_orderkey, o_totalprice::DECIMAL(18,2) AS available, l_extendedprice::DECIMAL(18,2) AS committed,
+  (l_tax * 1000)::DECIMAL(18,2) AS reserved, c_acctbal::DECIMAL(18,2) AS realized, (0.895 + l_tax)::DECIMAL(8,6) AS match_confidence, (l_quantity / 50)::DECIMAL(7,6) AS probability, (l_discount * 5 + 0.2)::DECIMAL(10,6) AS price
+  FROM a JOIN lines l ON a.id = l.id JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey),
+y AS (SELECT *, available + reserved + CASE WHEN z = 8 THEN 0.01 ELSE 0 END::DECIMAL(18,2) AS cash, CASE WHEN z = 10 THEN 0 ELSE committed / 5 END::DECIMAL(18,2) AS capital5, now - to_seconds(CASE WHEN z = 23 THEN -10 ELSE z * 18 + 5 END) AS price_at, now - to_hours(n * 4) AS forecast_at,
+  CASE WHEN z = 18 THEN now - INTERVAL 12 HOUR ELSE now - INTERVAL 12 HOUR + to_days(q) END AS event_start, CASE WHEN n < 7 THEN now - INTERVAL 12 HOUR + to_days(n - 1) END AS market_close, (probability - price + CASE WHEN z = 25 THEN 0.01 ELSE 0 END)::DECIMAL(10,6) AS edge, (0.08 + CASE WHEN z = 26 THEN 0.1 ELSE 0 END)::DECIMAL(8,6) AS candidate_edge FROM x),
+e AS (SELECT *, CASE WHEN available > 0 AND capital5 > 0 THEN (capital5 * 100)::HUGEINT * 10000000000 // (available * 100)::HUGEINT ELSE 0 END::HUGEINT AS share, CASE WHEN z = 8 THEN 'no' ELSE 'yes' END AS balanced FROM y),
+f AS (SELECT *, share + CASE WHEN z = 11 THEN 1 ELSE 0 END AS exposure, (cash + committed)::DECIMAL(19,2) AS current, epoch(now)::BIGINT - epoch(price_at)::BIGINT AS price_age, epoch(now)::BIGINT - epoch(forecast_at)::BIGINT AS forecast_age FROM e),
+g AS (SELECT *, printf('%d.%010d', (exposure // 10000000000)::BIGINT, (exposure % 10000000000)::BIGINT) AS stored, printf('%d.%010d', (share // 10000000000)::BIGINT, (share % 10000000000)::BIGINT) AS again, available - authorized AS remaining, greatest(0.08::DECIMAL(8,6), candidate_edge) AS needed,
+  CASE WHEN edge >= 0.08 THEN 'trade_candidate' WHEN edge >= 0.03 THEN 'watch' ELSE 'ignore' END AS status, CASE WHEN z = 15 THEN 'closed' WHEN z % 2 = 1 THEN 'open' ELSE 'active' END AS market_status FROM f),
+c AS (SELECT *, [{'rule': 'runtime_paper_mode', 'passed': z <> 1, 'actual': CASE WHEN z = 1 THEN 'live' ELSE 'paper' END},
+ {'rule': 'proposal_paper_mode', 'passed': z <> 2, 'actual': CASE WHEN z = 2 THEN 'live' ELSE 'paper' END},
+ {'rule': 'proposal_awaiting_risk', 'passed': z <> 3, 'actual': CASE WHEN z = 3 THEN 'approved' ELSE 'awaiting_risk' END},
+ {'rule': 'active_paper_portfolio', 'passed': z NOT IN (4, 5), 'actual': 'paper ' || CASE WHEN z = 4 THEN 'paused' ELSE 'active' END || ' ' || (z <> 5)::VARCHAR},
+ {'rule': 'active_sizing_strategy', 'passed': z <> 6, 'actual': CASE WHEN z = 6 THEN 'v1' ELSE 'v2' END},
+ {'rule': 'latest_portfolio_snapshot', 'passed': z <> 7, 'actual': (o_orderkey - CASE WHEN z = 7 THEN 1 ELSE 0 END)::VARCHAR},
+ {'rule': 'portfolio_accounting_valid', 'passed': z <> 8, 'actual': concat_ws(' ', current, cash::DECIMAL(19,2), reserved, committed, available, realized)},
+ {'rule': 'proposal_balance_matches_snapshot', 'passed': z <> 9, 'actual': (available + CASE WHEN z = 9 THEN 1 ELSE 0 END)::DECIMAL(18,2)::VARCHAR},
+ {'rule': 'individual_bankroll_sufficient', 'passed': capital5 > 0 AND available > 0 AND capital5 <= available, 'actual': concat_ws(' ', capital5, available)},
+ {'rule': 'proposal_exposure_valid', 'passed': exposure > 0 AND exposure <= 10000000000 AND z <> 11, 'actual': concat_ws(' ', stored, again)},
+ {'rule': 'aggregate_bankroll_sufficient', 'passed': remaining >= 0 AND capital5 <= remaining, 'actual': concat_ws(' ', authorized, remaining::DECIMAL(29,2), capital5)},
+ {'rule': 'current_trade_candidate', 'passed': z <> 12 AND status = 'trade_candidate', 'actual': (z <> 12)::VARCHAR || ' ' || status},
+ {'rule': 'proposal_source_consistent', 'passed': z <> 13, 'actual': (z <> 13)::VARCHAR}, {'rule': 'opportunity_semantics_current', 'passed': z <> 14, 'actual': (z <> 14)::VARCHAR},
+ {'rule': 'market_open', 'passed': market_status <> 'closed' AND coalesce(market_close > now, true), 'actual': market_status || ' ' || coalesce(market_close::VARCHAR, 'none')},
+ {'rule': 'event_not_started', 'passed': z NOT IN (16, 17) AND event_start > now, 'actual': CASE WHEN z = 16 THEN 'final' ELSE 'scheduled' END || ' ' || (z = 17)::VARCHAR || ' ' || event_start::VARCHAR},
+ {'rule': 'eligible_current_match', 'passed': z NOT IN (19, 20, 21), 'actual': concat_ws(' ', l_partkey, l_partkey + CASE WHEN z = 19 THEN 1 ELSE 0 END, CASE WHEN z = 20 THEN 'ambiguous' ELSE 'matched' END, (z <> 21)::VARCHAR)},
+ {'rule': 'minimum_match_confidence', 'passed': match_confidence >= 0.90, 'actual': match_confidence::VARCHAR},
+ {'rule': 'current_market_price', 'passed': z <> 22, 'actual': l_orderkey::VARCHAR}, {'rule': 'fresh_market_price', 'passed': price_age BETWEEN 0 AND 900, 'actual': price_age::VARCHAR},
+ {'rule': 'current_operational_forecast', 'passed': z <> 24, 'actual': l_orderkey::VARCHAR}, {'rule': 'fresh_operational_forecast', 'passed': forecast_age BETWEEN 0 AND 86400, 'actual': forecast_age::VARCHAR},
+ {'rule': 'raw_edge_consistent', 'passed': z <> 25, 'actual': concat_ws(' ', edge, probability, price)}, {'rule': 'minimum_raw_edge', 'passed': edge >= needed, 'actual': edge::VARCHAR},
+ {'rule': 'confidence_basis_supported', 'passed': z <> 27, 'actual': CASE WHEN z = 27 THEN 'calibrated' ELSE 'not_available' END}, {'rule': 'duplicate_active_intent_absent', 'passed': NOT duplicate, 'actual': duplicate::VARCHAR}] AS checks FROM g)"""
+
+
+def proposals(t):
+    """See PROPOSALS."""
+    size, day, n = F.col("p_size"), F.col("l_shipdate").cast("timestamp"), F.col("l_linenumber")
+    only = lambda k, then, other: F.when(size == k, then).otherwise(other)
+    days = lambda c: F.make_dt_interval(days=c.cast("int"))
+    seconds = lambda c: F.make_dt_interval(secs=c.cast("decimal(18,6)"))
+    money = lambda c: F.col(c).cast("decimal(18,2)")
+    rows = lines(t).withColumnRenamed("decision_id", "request_id").join(t("part"), F.col("p_partkey") == F.col("l_partkey")).join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(t("customer"), F.col("c_custkey") == F.col("o_custkey"))
+    rows = rows.join(authorized(t), "request_id")
+    now = day + F.make_dt_interval(hours=F.lit(12))
+    rows = rows.withColumns({
+        "evaluated_at": now, "runtime_mode": only(1, "live", F.lit("paper")), "proposal_mode": only(2, "live", F.lit("paper")), "proposal_state": only(3, "approved", F.lit("awaiting_risk")),
+        "portfolio_mode": F.lit("paper"), "portfolio_status": only(4, "paused", F.lit("active")), "portfolio_active": size != 5, "proposal_strategy": only(6, "v1", F.lit("v2")), "active_strategy": F.lit("v2"),
+        "proposal_snapshot": F.col("o_orderkey") - only(7, 1, 0), "latest_snapshot": F.col("o_orderkey"), "available": money("o_totalprice"), "committed": money("l_extendedprice"),
+        "reserved": (F.col("l_tax") * 1000).cast("decimal(18,2)"), "realized": money("c_acctbal"), "probability": (F.col("l_quantity") / 50).cast("decimal(7,6)"), "price": (F.col("l_discount") * 5 + 0.2).cast("decimal(10,6)"),
+        "match_confidence": (F.lit(0.895) + F.col("l_tax")).cast("decimal(8,6)"), "opportunity_current": size != 12, "source_consistent": size != 13, "semantics_current": size != 14,
+        "market_status": F.when(size == 15, "closed").when(size % 2 == 1, "open").otherwise("active"), "market_close": F.when(n < 7, day + days(n - 1)), "event_status": only(16, "final", F.lit("scheduled")),
+        "event_postponed": size == 17, "event_start": only(18, day, day + days(F.col("l_quantity"))), "source_match": F.col("l_partkey"), "latest_match": F.col("l_partkey") + only(19, 1, 0),
+        "match_status": only(20, "ambiguous", F.lit("matched")), "match_eligible": size != 21, "source_price": F.col("l_orderkey"), "latest_price": F.col("l_orderkey") + only(22, 1, 0),
+        "price_at": now - seconds(only(23, -10, size * 18 + 5)), "source_forecast": F.col("l_orderkey"), "latest_forecast": F.col("l_orderkey") + only(24, 1, 0),
+        "forecast_at": now - seconds(n * 14_400), "candidate_edge": only(26, F.lit("0.18"), F.lit("0.08")).cast("decimal(8,6)"), "confidence_basis": only(27, "calibrated", F.lit("not_available")),
+        "opportunity_until": now + seconds(n * 40),
+    })
+    cent = only(8, F.lit("0.01"), F.lit("0.00")).cast("decimal(18,2)")
+    rows = rows.withColumns({"cash": (F.col("available") + F.col("reserved") + cent).cast("decimal(19,2)"), "capital": only(10, F.lit(0), F.col("committed") / 5).cast("decimal(18,2)"), "proposal_available": (F.col("available") + only(9, 1, 0)).cast("decimal(18,2)"), "edge": (F.col("probability") - F.col("price") + only(25, F.lit("0.01"), F.lit("0.00")).cast("decimal(4,2)")).cast("decimal(10,6)")})
+    rows = rows.withColumns({"current": (F.col("cash") + F.col("committed")).cast("decimal(19,2)"), "exposure": (risk.exposure(F.col("capital"), F.col("available")) + only(11, F.lit("0.0000000001"), F.lit("0")).cast("decimal(11,10)")).cast("decimal(20,10)"), "opportunity_status": markets.edge_class(F.col("edge"))})
+    return rows.withColumn("starting", F.col("current") - F.col("realized"))
+
+
+@R.add(f"""WITH {DECISIONS}, {AUTHORIZED}, {PROPOSALS}, w AS (SELECT *, list_transform(list_filter(checks, lambda k: NOT k.passed), lambda k: k.rule) AS failed, to_timestamp(epoch(now)::BIGINT // 300 * 300)::TIMESTAMP AS slot FROM c)
+SELECT id AS request_id, CASE WHEN len(failed) > 0 THEN 'reject' WHEN exposure < 1000000000 THEN 'auto_approve' ELSE 'require_human_approval' END AS decision,
+ CASE WHEN len(failed) > 0 THEN 'hard_rejection' WHEN exposure < 1000000000 THEN 'automatic' WHEN exposure <= 4000000000 THEN 'medium_confidence_unavailable' ELSE 'large_exposure' END AS band,
+ CASE WHEN len(failed) > 0 THEN failed[1] WHEN exposure < 1000000000 THEN 'all_checks_passed_below_auto_exposure' WHEN exposure <= 4000000000 THEN 'confidence_unavailable_for_medium_exposure' ELSE 'large_exposure_requires_human_approval' END AS primary_reason,
+ array_to_string(failed, ',') AS failed, remaining::DOUBLE AS remaining, CASE WHEN len(failed) = 0 THEN strftime(least(slot + INTERVAL 300 SECOND, now + to_seconds(n * 40), event_start, market_close, price_at + INTERVAL 900 SECOND, forecast_at + INTERVAL 86400 SECOND), '%Y-%m-%d %H:%M:%S.%f') END AS valid_until FROM w""")
+def rul4_risk_gate(t):
+    return risk.evaluated(proposals(t)).select("request_id", "decision", "band", "primary_reason", F.array_join("failed", ",").alias("failed"), "remaining", "valid_until")
+
+
+@R.add(f"""WITH {DECISIONS}, {AUTHORIZED}, {PROPOSALS}, r AS (SELECT unnest(checks) AS k, generate_subscripts(checks, 1) AS place FROM c)
+SELECT place, k.rule AS rule, count(*) AS n, count(*) FILTER (NOT k.passed) AS failed, min(k.actual) AS least_actual, max(k.actual) AS most_actual, count(DISTINCT k.actual) AS kinds FROM r GROUP BY ALL""")
+def nst8_risk_checks(t):
+    rows = risk.check_rows(risk.evaluated(proposals(t)), "request_id")
+    return rows.groupBy("place", "rule").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("passed")).alias("failed"), F.min("actual").alias("least_actual"), F.max("actual").alias("most_actual"), F.count_distinct("actual").alias("kinds"))
