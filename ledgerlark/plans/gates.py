@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerlark.operators import capital, markets, matcher, risk
+from ledgerlark.operators import capital, markets, matcher, pilot, risk
 from ledgerlark.plans.common import Registry
 
 R = Registry()
@@ -211,3 +211,45 @@ SELECT place, k.rule AS rule, count(*) AS n, count(*) FILTER (NOT k.passed) AS f
 def nst8_risk_checks(t):
     rows = risk.check_rows(risk.evaluated(proposals(t)), "request_id")
     return rows.groupBy("place", "rule").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("passed")).alias("failed"), F.min("actual").alias("least_actual"), F.max("actual").alias("most_actual"), F.count_distinct("actual").alias("kinds"))
+
+
+#: Events as a pilot: purchases open positions for 36 hours, clicks and views are quotes, errors are forecasts for 12 hours; runs are every 6 hours.
+PILOT = """pos AS (SELECT event_id AS position_id, user_id AS market, value >= 20 AS yes, greatest(1, floor(value))::BIGINT AS quantity, (value / 3)::DECIMAL(18,2) AS cost, ts AS opened_at, ts + INTERVAL 36 HOUR AS closed_at FROM events WHERE event_type = 'purchase'),
+price AS (SELECT user_id AS market, event_id AS price_id, ts AS quoted_at, bid AS yes_bid, ask AS yes_ask, (1 - ask)::DECIMAL(10,4) AS no_bid, (1 - bid)::DECIMAL(10,4) AS no_ask FROM
+  (SELECT *, (value / 100)::DECIMAL(10,4) AS bid, CASE WHEN event_type = 'view' AND value > 60 THEN NULL ELSE (value / 100)::DECIMAL(10,4) + CASE WHEN value < 5 THEN -0.01 ELSE 0.02 END END::DECIMAL(10,4) AS ask FROM events WHERE event_type IN ('click', 'view'))),
+fc AS (SELECT user_id AS market, ts AS generated_at, ts + INTERVAL 12 HOUR AS valid_until, least(value / 150, 1)::DECIMAL(8,6) AS yes_payout FROM events WHERE event_type = 'error'),
+runs AS (SELECT pos.*, unnest(generate_series(ceil(epoch_us(opened_at) / 21600000000)::BIGINT, ceil(epoch_us(closed_at) / 21600000000)::BIGINT - 1)) * 21600000000 AS run_us FROM pos),
+seen AS (SELECT r.*, make_timestamp(run_us) AS run_at, p.price_id, p.quoted_at, CASE WHEN yes THEN yes_bid ELSE no_bid END AS bid, CASE WHEN yes THEN yes_ask ELSE no_ask END AS ask, f.generated_at, f.valid_until, CASE WHEN yes THEN yes_payout ELSE 1 - yes_payout END AS expected
+  FROM runs r ASOF LEFT JOIN price p ON p.market = r.market AND p.quoted_at <= make_timestamp(r.run_us) ASOF LEFT JOIN fc f ON f.market = r.market AND f.generated_at <= make_timestamp(r.run_us)),
+st AS (SELECT *, CASE WHEN price_id IS NULL THEN 'missing' WHEN (run_us - epoch_us(quoted_at)) // 1000000 > 10800 THEN 'stale' WHEN coalesce(bid > 0 AND bid < 1 AND ask > 0 AND ask < 1 AND ask >= bid, false) THEN 'fresh' ELSE 'unusable' END AS quote_status, (expected - bid)::DECIMAL(10,6) AS left_edge FROM seen),
+re AS (SELECT *, CASE WHEN quote_status <> 'fresh' THEN 'quote_' || quote_status WHEN generated_at IS NULL THEN 'forecast_missing' WHEN run_at >= valid_until THEN 'forecast_stale' WHEN left_edge <= 0 THEN 'remaining_edge_nonpositive' WHEN left_edge < 0.03 THEN 'remaining_edge_thin' ELSE 'minimum_hold_edge_met' END AS reason,
+  quote_status = 'fresh' AND run_us - epoch_us(quoted_at) <= 10800000000 AS markable FROM st),
+mo AS (SELECT *, CASE reason WHEN 'remaining_edge_nonpositive' THEN 'close' WHEN 'remaining_edge_thin' THEN 'reduce' ELSE 'hold' END AS recommendation, price_id IS NOT NULL AND row_number() OVER (PARTITION BY position_id, price_id ORDER BY run_us) = 1 AS check_created,
+  markable AND coalesce(sum(markable::INT) OVER (PARTITION BY position_id, price_id ORDER BY run_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS mark_created FROM re)"""
+
+
+def pilot_rows(t):
+    """See PILOT."""
+    events = t("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    hours = lambda n: F.col("ts") + F.make_dt_interval(hours=F.lit(n))
+    value = F.col("value")
+    positions = events.filter("event_type = 'purchase'").select(F.col("event_id").alias("position_id"), F.col("user_id").alias("market"), F.when(value >= 20, "yes").otherwise("no").alias("direction"), F.greatest(F.lit(1), F.floor(value)).cast("long").alias("quantity"), (value / 3).cast("decimal(18,2)").alias("cost"), F.col("ts").alias("opened_at"), hours(36).alias("closed_at"))
+    bid = (value / 100).cast("decimal(10,4)")
+    ask = F.when(~((F.col("event_type") == "view") & (value > 60)), bid + F.when(value < 5, F.lit("-0.01")).otherwise(F.lit("0.02")).cast("decimal(4,2)")).cast("decimal(10,4)")
+    prices = events.filter("event_type in ('click', 'view')").select(F.col("user_id").alias("market"), F.col("event_id").alias("price_id"), F.col("ts").alias("at"), bid.alias("yes_bid"), ask.alias("yes_ask"), (1 - ask).cast("decimal(10,4)").alias("no_bid"), (1 - bid).cast("decimal(10,4)").alias("no_ask"))
+    payout = F.least(value / 150, F.lit(1.0)).cast("decimal(8,6)")
+    forecasts = events.filter("event_type = 'error'").select(F.col("user_id").alias("market"), F.col("event_id").alias("forecast_id"), F.col("ts").alias("generated_at"), hours(12).alias("valid_until"), payout.alias("yes"), (1 - payout).cast("decimal(8,6)").alias("no"))
+    return pilot.monitored(positions, prices, forecasts, pilot.Policy(every_seconds=21_600, quote_seconds=10_800))
+
+
+@R.add(f"""WITH {PILOT} SELECT strftime(run_at, '%Y-%m-%d %H:%M:%S.%f') AS run_at, count(*) AS positions, count(*) FILTER (check_created) AS quote_checks_created, count(*) FILTER (quote_status = 'fresh') AS fresh, count(*) FILTER (quote_status = 'stale') AS stale,
+ count(*) FILTER (quote_status = 'unusable') AS unusable, count(*) FILTER (quote_status = 'missing') AS missing, count(*) FILTER (mark_created) AS marks_created, count(*) FILTER (NOT markable) AS skipped, count(*) FILTER (recommendation = 'hold') AS holds,
+ count(*) FILTER (recommendation = 'reduce') AS reduces, count(*) FILTER (recommendation = 'close') AS closes, count(*) FILTER (reason <> 'minimum_hold_edge_met') AS attention_required FROM mo GROUP BY 1""")
+def rul12_pilot_counters(t):
+    return pilot.counters(pilot_rows(t))
+
+
+@R.add(f"""WITH {PILOT} SELECT position_id, strftime(run_at, '%Y-%m-%d %H:%M:%S.%f') AS run_at, price_id, quote_status, recommendation, reason, CASE WHEN quote_status = 'fresh' AND reason NOT LIKE 'forecast%' THEN left_edge END::DOUBLE AS edge,
+ check_created, mark_created, CASE WHEN mark_created THEN floor(bid * quantity * 100) / 100 END::DOUBLE AS value, CASE WHEN mark_created THEN floor(bid * quantity * 100)::DECIMAL(18,2) / 100 - cost END::DECIMAL(18,2)::DOUBLE AS unrealized FROM mo""")
+def rul12_pilot_monitoring(t):
+    return pilot_rows(t).select("position_id", "run_at", "price_id", "quote_status", "recommendation", "reason", "edge", "check_created", "mark_created", "value", "unrealized")
