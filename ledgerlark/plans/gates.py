@@ -5,6 +5,7 @@ from pyspark.sql.window import Window
 
 from ledgerlark.operators import capital, markets, matcher, pilot, risk
 from ledgerlark.plans.common import Registry
+from ledgerlark.sources import pages
 
 R = Registry()
 
@@ -253,3 +254,41 @@ def rul12_pilot_counters(t):
  check_created, mark_created, CASE WHEN mark_created THEN floor(bid * quantity * 100) / 100 END::DOUBLE AS value, CASE WHEN mark_created THEN floor(bid * quantity * 100)::DECIMAL(18,2) / 100 - cost END::DECIMAL(18,2)::DOUBLE AS unrealized FROM mo""")
 def rul12_pilot_monitoring(t):
     return pilot_rows(t).select("position_id", "run_at", "price_id", "quote_status", "recommendation", "reason", "edge", "check_created", "mark_created", "value", "unrealized")
+
+
+#: Orders as landed pages: a window a month, 40 orders a page; in some months the last page points back, in some a page is lost.
+LANDED = """numbered AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderkey, (row_number() OVER (PARTITION BY strftime(o_orderdate, '%Y-%m') ORDER BY o_orderkey) - 1) // 40 AS page, count(*) OVER (PARTITION BY strftime(o_orderdate, '%Y-%m')) AS orders FROM orders)"""
+
+
+def landed(t):
+    """month, cursor, next_cursor, items: see LANDED. A month whose number of orders divides by 7 points back to its second page, one that divides by 5 lacks its third."""
+    month = F.date_format("o_orderdate", "yyyy-MM")
+    order = Window.partitionBy("month").orderBy("o_orderkey")
+    rows = t("orders").select(month.alias("month"), "o_orderkey").withColumns({"_n": F.row_number().over(order), "orders": F.count(F.lit(1)).over(Window.partitionBy("month"))})
+    rows = rows.withColumn("page", F.call_function("div", F.col("_n") - 1, F.lit(40)))
+    pages_ = rows.groupBy("month", "orders", "page").agg(F.sort_array(F.collect_list("o_orderkey")).alias("items"))
+    last = F.call_function("div", F.col("orders") - 1, F.lit(40)) == F.col("page")
+    name = lambda n: F.concat(F.lit("p"), n.cast("string"))
+    following = F.when(~last, name(F.col("page") + 1)).when((F.col("orders") % 7 == 0) & (F.col("page") >= 1), F.lit("p1"))
+    lost = (F.col("orders") % 5 == 0) & (F.col("page") == 2)
+    return pages_.filter(~lost).select("month", F.when(F.col("page") > 0, name(F.col("page"))).alias("cursor"), following.alias("next_cursor"), "items")
+
+
+CHAINS = f"""{LANDED}, per AS (SELECT month, orders, (orders - 1) // 40 + 1 AS pages FROM numbered GROUP BY ALL),
+chain AS (SELECT month, orders, CASE WHEN orders % 5 = 0 AND pages > 2 THEN 'missing_page' WHEN pages > 12 THEN 'page_limit' WHEN orders % 7 = 0 AND pages >= 2 THEN 'repeated_cursor' ELSE 'complete' END AS status,
+  CASE WHEN orders % 5 = 0 AND pages > 2 THEN 2 ELSE least(pages, 12) END AS read FROM per)"""
+
+
+@R.add(f"""WITH {CHAINS} SELECT c.month, status, read AS pages, count(n.o_orderkey) AS items, coalesce(sum(n.o_orderkey), 0)::BIGINT AS keys FROM chain c LEFT JOIN numbered n ON n.month = c.month AND status = 'complete' GROUP BY ALL""")
+def src1_cursor_chains(t):
+    rows = landed(t)
+    found = pages.chains(rows, "month", 12)
+    read = pages.items(rows, found, "month").groupBy("month").agg(F.count(F.lit(1)).alias("items"), F.sum("item").alias("keys"))
+    return found.join(read, "month", "left").select("month", "status", F.size("path").alias("pages"), F.coalesce("items", F.lit(0)).alias("items"), F.coalesce("keys", F.lit(0)).alias("keys"))
+
+
+@R.add(f"""WITH {CHAINS}, o AS (SELECT *, row_number() OVER (ORDER BY month) AS n FROM chain), b AS (SELECT min(n) AS n, min_by(month, n) AS month, min_by(status, n) AS status FROM o WHERE status <> 'complete' AND n <= 48)
+SELECT coalesce(b.n - 1, least(48, (SELECT count(*) FROM o)))::BIGINT AS windows_completed, b.n IS NULL AND (SELECT count(*) FROM o) <= 48 AS completed, coalesce(b.month, (SELECT month FROM o WHERE n = 49)) AS next_start, b.status AS failure FROM b""")
+def src11_resume(t):
+    found = pages.chains(landed(t), "month", 12)
+    return pages.resumed(found, "month", "month", "status", 48)
