@@ -29,8 +29,8 @@ def orphans(df: DataFrame, key: str, parents: DataFrame, parent_key: str, code:
 
 
 def issues(*parts: DataFrame) -> DataFrame:
-    """All issues: errors first, then by code and subject."""
-    return reduce(DataFrame.unionByName, parts)
+    """All issues in order: errors first, then by code and subject (a range sort, no single task)."""
+    return reduce(DataFrame.unionByName, parts).orderBy(F.col("severity") != "error", "severity", "code", "subject")
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def report(found: DataFrame) -> DataFrame:
 
 
 def statistics(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Per key: n, nulls, mean, population deviation, minimum, median, maximum, and values farther than 3 deviations from the mean."""
+    """Per key: n, nulls, mean, population deviation, minimum, median, maximum."""
     stats = df.groupBy(*keys).agg(
         F.count(value).alias("n"),
         F.count_if(F.col(value).isNull()).alias("nulls"),
@@ -51,3 +51,10 @@ def statistics(df: DataFrame, keys: list[str], value: str) -> DataFrame:
         F.max(value).alias("most"),
     )
     return stats
+
+
+def outliers(df: DataFrame, keys: list[str], value: str, deviations: float = 3.0) -> DataFrame:
+    """Per key: how many values lie farther than so many population deviations from their key's mean (keys without any: 0)."""
+    around = df.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_deviation"))
+    far = F.abs(F.col(value) - F.col("_mean")) > deviations * F.col("_deviation")
+    return df.join(around, keys).groupBy(*keys).agg(F.count_if(far).alias("outliers"))

@@ -7,6 +7,7 @@ stream through its fold in order: a task holds the ratings of the teams, not the
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable
 from decimal import ROUND_HALF_UP, Context, Decimal, localcontext
 
@@ -44,12 +45,25 @@ def expectation(home: Decimal, away: Decimal, advantage: Decimal, scale: Decimal
     return (1 / (1 + Decimal(10) ** (-(home + advantage - away) / scale))).quantize(Decimal("0.000001"))
 
 
+# The names under which a game enters the rolling hash, and those of what became of it.
+BECAME = {"used": "processed", "tie": "skipped_tie", "incomplete": "skipped_incomplete"}
+
+
+def game_line(game_id, starts, home, away, home_score, away_score, kind: str) -> bytes:
+    """A game as canonical JSON (keys in order, no spaces, ids as text, the start in UTC) and a line end."""
+    from datetime import UTC
+
+    when = starts.astimezone(UTC) if starts.tzinfo else starts.replace(tzinfo=UTC)
+    game = {"event_id": str(game_id), "scheduled_start_time": when.isoformat(), "home_team_id": str(home), "away_team_id": str(away), "home_score": home_score, "away_score": away_score, "disposition": BECAME[kind]}
+    return json.dumps(game, sort_keys=True, separators=(",", ":")).encode() + b"\n"
+
+
 def replay(k: int = 20, advantage: int = 100, scale: int = 400, start: int = 1500) -> Callable:
     """Forecast every game of a league from the games that began strictly before it.
 
     A fold over league, game_id, starts, home, away, home_score, away_score (null: not played). Ratings have four digits, probabilities
-    six, halves go up. Ties and games without scores change nothing but are counted. training_sha256 is the rolling hash of all games
-    before. A game without a start is forecast last and trains nothing.
+    six, halves go up. Ties and games without scores change nothing but are counted. training_sha256 is the rolling hash of the lines of all
+    games before. A game without a start is forecast last and trains nothing.
     """
     four = Decimal("0.0001")
     now: dict = {}  # ratings after every game so far
@@ -70,7 +84,7 @@ def replay(k: int = 20, advantage: int = 100, scale: int = 400, start: int = 150
                 return out
             kind = "incomplete" if home_score is None or away_score is None else "tie" if home_score == away_score else "used"
             count[kind] += 1
-            hasher.update(repr((game_id, starts.isoformat(), home, away, home_score, away_score, kind)).encode() + b"\n")
+            hasher.update(game_line(game_id, starts, home, away, home_score, away_score, kind))
             if kind == "used":
                 h, a = (now.get(t, Decimal(start)) for t in (home, away))
                 exact = 1 / (1 + Decimal(10) ** (-(h + advantage - a) / Decimal(scale)))
