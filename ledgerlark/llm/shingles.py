@@ -94,7 +94,7 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
         going = reach < least.max(1)[owner]
         member, owner, reach = member[going], owner[going], reach[going]
         if len(member):
-            many = max(1, min(64, drawn, 4_000_000 // len(member)))
+            many = max(1, min(64, drawn, 1_000_000 // len(member)))
     with np.errstate(divide="ignore"):
         value = np.floor(1 - np.log(least) / np.log(BASE))
     return np.clip(value, 0, LIMIT + 1).astype(np.uint16)
