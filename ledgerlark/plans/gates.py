@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerlark.operators import capital, markets, matcher, pilot, risk
+from ledgerlark.operators import capital, entry, ledger, markets, matcher, pilot, risk
 from ledgerlark.plans.common import Registry
 from ledgerlark.sources import pages
 
@@ -292,3 +292,41 @@ SELECT coalesce(b.n - 1, least(48, (SELECT count(*) FROM o)))::BIGINT AS windows
 def src11_resume(t):
     found = pages.chains(landed(t), "month", 12)
     return pages.resumed(found, "month", "month", "status", 48)
+
+
+@R.add("""WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, c_acctbal::DECIMAL(18,2) AS bankroll, CASE WHEN o_orderpriority = '5-LOW' THEN 'live' ELSE 'paper' END AS mode, ((l_quantity / 50)::DECIMAL(7,6) - (l_discount * 5 + 0.2)::DECIMAL(10,6))::DECIMAL(8,6) AS edge
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey),
+y AS (SELECT *, CASE WHEN edge >= 0.18 THEN 'very_strong' WHEN edge >= 0.12 THEN 'strong' WHEN edge >= 0.08 THEN 'candidate' END AS band, (bankroll * 100)::BIGINT * CASE WHEN edge >= 0.18 THEN 8 WHEN edge >= 0.12 THEN 5 WHEN edge >= 0.08 THEN 2 ELSE 0 END // 100 AS cents FROM x),
+z AS (SELECT *, CASE WHEN mode <> 'paper' THEN 'portfolio_not_paper' WHEN edge < 0.05 THEN 'not_trade_candidate' WHEN edge < 0.08 THEN 'below_sizing_edge_threshold' WHEN bankroll <= 0 THEN 'no_available_bankroll' WHEN cents < 1 THEN 'below_minimum_currency_unit' END AS skip FROM y)
+SELECT l_orderkey, l_linenumber, l_partkey, skip, CASE WHEN skip IS NULL THEN band END AS band, CASE WHEN skip IS NULL THEN cents::DOUBLE / 100 END AS capital,
+ CASE WHEN skip IS NULL THEN (cents::HUGEINT * 10000000000 // (bankroll * 100)::HUGEINT)::DOUBLE / 10000000000 END AS exposure FROM z""")
+def rul3_sizing_reasons(t):
+    rows = t("lineitem").join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(t("customer"), F.col("c_custkey") == F.col("o_custkey"))
+    edge = ledger.edge6((F.col("l_quantity") / 50).cast("decimal(7,6)"), (F.col("l_discount") * 5 + 0.2).cast("decimal(10,6)"))
+    mode = F.when(F.col("o_orderpriority") == "5-LOW", "live").otherwise("paper")
+    found = entry.sizing(mode, F.when(edge >= 0.05, "trade_candidate").otherwise("watch"), edge, F.col("c_acctbal").cast("decimal(18,2)"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", *[c.alias(n) for n, c in found.items()])
+
+
+@R.add(f"""WITH {DECISIONS}, {AUTHORIZED}, {PROPOSALS}, w AS (SELECT *, list_transform(list_filter(checks, lambda k: NOT k.passed), lambda k: k.rule) AS wrong, to_timestamp(epoch(now)::BIGINT // 300 * 300)::TIMESTAMP AS slot, now + to_seconds(n * 20) AS attempted FROM c),
+v AS (SELECT *, CASE WHEN len(wrong) > 0 THEN 'reject' WHEN exposure < 1000000000 THEN 'auto_approve' ELSE 'require_human_approval' END AS decision, CASE WHEN len(wrong) = 0 THEN least(slot + INTERVAL 300 SECOND, now + to_seconds(n * 40), event_start, market_close, price_at + INTERVAL 900 SECOND, forecast_at + INTERVAL 86400 SECOND) END AS until FROM w),
+u AS (SELECT *, list_filter([CASE WHEN z = 1 THEN 'paper_only' END, CASE WHEN decision <> 'auto_approve' THEN 'automatic_risk_authorization' END, CASE WHEN NOT coalesce(until > attempted, false) THEN 'risk_authorization_unexpired' END, CASE WHEN z = 32 THEN 'latest_active_risk_policy' END,
+  CASE WHEN decision <> 'auto_approve' OR price_age + n * 20 > 900 OR z = 31 THEN 'exact_risk_revalidation' END, CASE WHEN z = 7 THEN 'latest_portfolio_snapshot' END, CASE WHEN z = 33 THEN 'single_use_authorization' END, CASE WHEN duplicate THEN 'no_open_market_position' END,
+  CASE WHEN NOT (capital5 > 0 AND capital5 <= available) THEN 'available_bankroll' END, CASE WHEN z = 30 THEN 'valid_current_directional_book' END], lambda r: r IS NOT NULL) AS failed, (price + 0.005)::DECIMAL(10,6) AS fill FROM v),
+q AS (SELECT *, CASE WHEN fill > 0 AND fill < 1 THEN (capital5 * 100)::BIGINT * 50 // 51 * 10000 // (fill * 1000000)::BIGINT ELSE 0 END AS quantity FROM u),
+c2 AS (SELECT *, CASE WHEN quantity > 0 THEN (ceil(fill * quantity * 100) + ceil(ceil(fill * quantity * 100) * 0.02))::DOUBLE / 100 END AS total FROM q),
+k AS (SELECT *, (ceil(round(total / nullif(quantity, 0) * 1000000, 4)) / 1000000)::DECIMAL(10,6) AS unit FROM c2),
+o AS (SELECT *, CASE WHEN len(failed) > 0 THEN failed[1] WHEN fill >= 1 THEN 'price_not_below_one' WHEN quantity < 1 THEN 'less_than_one_contract' WHEN probability - unit < 0.10 THEN 'edge_below_minimum' ELSE 'filled' END AS outcome FROM k)
+SELECT id AS request_id, outcome, array_to_string(failed, ',') AS failed, CASE WHEN outcome = 'filled' THEN quantity END AS quantity, CASE WHEN outcome = 'filled' THEN total END AS total, CASE WHEN outcome = 'filled' THEN unit::DOUBLE END AS unit_cost FROM o""")
+def rul7_entry(t):
+    found = risk.evaluated(proposals(t))
+    size, now, n = F.col("p_size"), F.col("evaluated_at"), F.col("l_linenumber")
+    later = F.make_dt_interval(secs=(n * 20).cast("decimal(18,6)"))
+    again = (F.col("decision") == "auto_approve") & (risk.seconds_since(now + later, F.col("price_at")) <= 900)
+    rows = found.withColumns({
+        "attempted_at": now + later, "risk_mode": F.lit("paper"), "risk_decision": F.col("decision"), "risk_passed": F.size("failed") == 0, "risk_latest": size != 32, "policy_active": F.lit(True),
+        "revalidated": F.when(again, "auto_approve").otherwise("reject"), "print_then": F.lit("a"), "print_now": F.when(size == 31, "b").otherwise("a"), "snapshot": F.col("proposal_snapshot"),
+        "no_prior_execution": size != 33, "no_open_position": ~F.col("duplicate"), "ask": F.col("price"), "bid": F.when(size % 2 == 0, F.col("price") - F.lit("0.02").cast("decimal(4,2)")),
+        "reference": F.col("price") + F.when(size == 30, F.lit("0.01")).otherwise(F.lit("0.00")).cast("decimal(4,2)"),
+    })
+    return entry.entry(rows, 50, "0.02", "0.10").select("request_id", "outcome", F.array_join("failed", ",").alias("failed"), "quantity", "total", "unit_cost")
