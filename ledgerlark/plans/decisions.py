@@ -350,6 +350,18 @@ def agg30_logistic(t):
     return rows.sparkSession.createDataFrame(values, "name string, coefficient double")
 
 
+@R.add()
+def agg30_selection(t):
+    """Every penalty with its validation scores, and the chosen one's test scores: lines by their day of shipping."""
+    day = F.col("l_shipdate")
+    split = F.when(day < "1998-01-01", "train").when(day < "2000-01-01", "validation").otherwise("test")
+    rows = t("lineitem").select(split.alias("split"), (F.col("l_returnflag") == "R").cast("int").alias("y"), F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"))
+    found = logistic.select(rows, ["quantity", "discount", "tax"], "y", "split", [0.001, 0.01, 0.1, 1.0])
+    scores = lambda m: (m.n, m.decisive, m.correct, float(m.mean_brier), float(m.mean_log_loss))
+    values = [("validation", penalty, penalty == found.penalty, *scores(m)) for penalty, _, m in found.candidates] + [("test", found.penalty, True, *scores(found.test))]
+    return rows.sparkSession.createDataFrame(values, "split string, penalty double, chosen boolean, n long, decisive long, correct long, mean_brier double, mean_log_loss double")
+
+
 @R.add("""WITH q AS (SELECT event_id, event_id % 1300 - 100 + 0.5 AS age, value / 100 AS bid, CASE WHEN event_type <> 'error' THEN value / 100 + (event_id % 7 - 2) / 100.0::DOUBLE END AS ask FROM events)
 SELECT event_id, CASE WHEN age >= 901 THEN 'stale' WHEN bid > 0 AND bid < 1 AND ask > 0 AND ask < 1 AND bid <= ask THEN 'fresh' ELSE 'unusable' END AS s FROM q""")
 def rul9_quote_state(t):
