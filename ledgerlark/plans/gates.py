@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerlark.operators import capital, entry, ledger, markets, matcher, pilot, risk
+from ledgerlark.operators import capital, entry, ledger, listings, markets, matcher, pilot, risk
 from ledgerlark.plans.common import Registry
 from ledgerlark.sources import pages
 
@@ -330,3 +330,20 @@ def rul7_entry(t):
         "reference": F.col("price") + F.when(size == 30, F.lit("0.01")).otherwise(F.lit("0.00")).cast("decimal(4,2)"),
     })
     return entry.entry(rows, 50, "0.02", "0.10").select("request_id", "outcome", F.array_join("failed", ",").alias("failed"), "quantity", "total", "unit_cost")
+
+
+#: The nations' clubs as a league's words.
+CLUBS = listings.Words("building", "high", tuple(f"club-{n}" for n in range(25)), tuple(f"n{n}" for n in range(25)), not_series=("5-LOW",), category="automobile")
+
+
+@R.add("""WITH nations AS (SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey),
+sides AS (SELECT l_orderkey, array_to_string(list_sort(list_distinct(list(CASE substr(o_orderpriority, 1, 1) WHEN '2' THEN 'N' || n_nationkey WHEN '3' THEN 'club-' || n_nationkey WHEN '4' THEN r_name ELSE n_name END))), ' at ') AS sides
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN nations ON s_nationkey = n_nationkey WHERE l_returnflag = 'R' GROUP BY 1),
+m AS (SELECT o_orderkey, o_orderpriority AS series, c_mktsegment AS category, lower(concat_ws(' ', n_name || ' vs ', sides)) AS said FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey LEFT JOIN sides ON l_orderkey = o_orderkey),
+k AS (SELECT *, (SELECT count(*) FROM range(25) r(i) WHERE contains(said, 'club-' || i)) AS named, (SELECT count(*) FROM range(25) r(i) WHERE regexp_matches(said, '(^|[^a-z0-9])n' || i || '([^a-z0-9]|$)')) AS short,
+  (SELECT count(*) FROM range(25) r(i) WHERE regexp_matches(said, '(^|[^a-z0-9])club-' || i || '([^a-z0-9]|$)')) AS nick FROM m)
+SELECT o_orderkey, CASE WHEN series = '5-LOW' THEN false WHEN contains(lower(series), 'high') THEN true WHEN lower(category) <> 'automobile' THEN false ELSE named >= 2 OR short >= 2 OR nick >= 2 END AS likely FROM k""")
+def rul17_likely(t):
+    rows = contracts(t).join(t("orders"), F.col("o_orderkey") == F.col("market_id")).join(t("customer"), F.col("c_custkey") == F.col("o_custkey"))
+    none = F.lit(None).cast("string")
+    return rows.select("o_orderkey", listings.likely(F.col("o_orderpriority"), none, none, F.col("c_mktsegment"), F.col("title"), F.col("sides"), CLUBS).alias("likely"))
