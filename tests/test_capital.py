@@ -57,3 +57,41 @@ def test_authorized(spark, seed, days):
     assert capital.authorized(requests.limit(0), made_, uses, opened).collect() == []
     alone = capital.authorized(requests, made_.limit(0), uses, opened.limit(0)).collect()
     assert len(alone) == len(decisions) and not any(r.authorized or r.duplicate for r in alone)
+
+
+@pytest.mark.parametrize("days", [1, 30])
+def test_a_large_account_is_cut_into_slices(spark, days):
+    decisions, used, positions = made(4)
+    uses = dict(used)
+    columns = "decision_id long, account long, snapshot string, proposal string, market string, direction string, team string, kind string, capital decimal(18,2), evaluated_at timestamp, valid_until timestamp"
+    requests = spark.createDataFrame(decisions, columns).selectExpr("decision_id as request_id", "account", "snapshot", "proposal", "market", "direction", "team", "evaluated_at as at")
+    args = spark.createDataFrame(decisions, columns), spark.createDataFrame(used, "decision_id long, used_at timestamp"), spark.createDataFrame(positions, "account long, market string, opened_at timestamp, closed_at timestamp")
+    found = {r.request_id: (r.authorized, r.duplicate) for r in capital.authorized(requests, *args, days, most=0).collect()}
+    assert found == brute(decisions, used, positions)
+    # each row as a decision, a request and, where used, a position that stays open or closes
+    closed = {k: None if k % 2 else u + timedelta(hours=30) for k, u in used}
+    rows = spark.createDataFrame([(*d, uses.get(d[0]), closed.get(d[0]), f"x{d[0]}") for d in decisions], columns + ", used_at timestamp, closed_at timestamp, tag string")
+    expected = brute(decisions, used, [(decisions[k][1], decisions[k][4], u, closed[k]) for k, u in used])
+    for most in (0, capital.SLICED_ROWS):
+        out = capital.authorized_as_made(rows, ["tag"], rows.selectExpr("account", "evaluated_at as at"), days, most).collect()
+        assert {r.request_id: (r.authorized, r.duplicate) for r in out} == expected
+        assert len(out) == len(decisions) and all(r.tag == f"x{r.request_id}" and r.evaluated_at == decisions[r.request_id][9] for r in out)
+
+
+def test_null_keys_see_and_hold_nothing(spark):
+    base = [1, "s", "p", "m", "yes", "x", "auto_approve", Decimal("5.00"), T0, T0 + timedelta(days=1)]
+    rows = [(0, *base)] + [(n, *[None if i == n - 1 else "q" if i == 2 else v for i, v in enumerate(base)]) for n in (1, 2, 3, 4, 9)]
+    columns = "decision_id long, account long, snapshot string, proposal string, market string, direction string, team string, kind string, capital decimal(18,2), evaluated_at timestamp, valid_until timestamp"
+    d = spark.createDataFrame(rows, columns)
+    requests = d.selectExpr("decision_id as request_id", "account", "snapshot", "proposal", "market", "direction", "team", "evaluated_at as at")
+    none = d.limit(0).selectExpr("decision_id", "evaluated_at as used_at"), d.limit(0).selectExpr("account", "market", "evaluated_at as opened_at", "valid_until as closed_at")
+    found = {r.request_id: (r.authorized, r.duplicate) for r in capital.authorized(requests, d, *none).collect()}
+    assert found == {0: (0, False), 1: (0, False), 2: (0, False), 3: (0, False), 4: (5, False), 9: (0, False)}
+
+
+def test_queries_deal_each_line_few_times(spark, sf_dir):
+    from ledgerlark.plans.gates import R
+
+    for name, most in (("rul6_authorized_capital", 3), ("rul4_risk_gate", 7), ("rul7_entry", 7)):
+        plan = R.queries[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") <= most
