@@ -6,7 +6,12 @@ Checks are evaluated all and never short-circuited, so that a rejection names ev
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,3 +130,39 @@ def check_rows(found: DataFrame, key: str) -> DataFrame:
     """A row a check: key, place (from 1), rule, passed, actual, expected, detail."""
     rows = found.select(key, F.posexplode("checks").alias("place", "c"))
     return rows.select(key, (F.col("place") + 1).cast("long").alias("place"), "c.*")
+
+
+COUNTED = "part long, place long, digest binary, sums struct<rule: string, n: long, failed: long, least: string, most: string>"
+
+
+def check_counts(found: DataFrame) -> DataFrame:
+    """A row a rule: place (from 1), rule, n, failed, least_actual, most_actual and kinds (how many different values were found, told apart by digests of 128 bits).
+
+    Checks are summed a batch at a time before they are dealt, so they become no rows of their own; only different values' digests are dealt.
+    """
+    names = [rule for rule, *_ in rules()]
+
+    def run(batches):
+        part = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            actual, passed = (batch.column(c).flatten() for c in ("actual", "passed"))
+            rows = []
+            for i, rule in enumerate(names):
+                at = pa.array(np.arange(i, len(actual), len(names)))
+                values, ends = actual.take(at), pc.min_max(actual.take(at))
+                sums = {"rule": rule, "n": batch.num_rows, "failed": batch.num_rows - pc.sum(passed.take(at)).as_py(), "least": ends["min"].as_py(), "most": ends["max"].as_py()}
+                rows.append((part, i + 1, None, sums))
+                rows += [(None, i + 1, md5(v.encode()).digest(), None) for v in values.unique().to_pylist() if v is not None]
+            part += 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "place", "digest", "sums"])
+
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.struct([("rule", pa.string()), ("n", pa.int64()), ("failed", pa.int64()), ("least", pa.string()), ("most", pa.string())])]
+    of = lambda field: F.transform("checks", lambda c: c[field]).alias(field)
+    parts = found.select(of("actual"), of("passed")).mapInArrow(run, COUNTED).distinct()
+    listed = lambda field: F.collect_list(f"sums.{field}")
+    return parts.groupBy("place").agg(
+        F.array_max(listed("rule")).alias("rule"), F.sum("sums.n").alias("n"), F.sum("sums.failed").alias("failed"), F.array_min(listed("least")).alias("least_actual"),
+        F.array_max(listed("most")).alias("most_actual"), F.count("digest").alias("kinds"),
+    )

@@ -99,3 +99,17 @@ def test_check_rows_show_what_was_found(spark):
 
 def test_empty_table(spark):
     assert risk.evaluated(frame(spark, [{}]).limit(0)).collect() == []
+
+
+def test_check_counts_are_those_of_the_check_rows(spark):
+    rows = [*BAD.values(), *list(BAD.values())[:3]]
+    found = risk.evaluated(frame(spark, rows))
+    single = risk.check_rows(found, "id").collect()
+    out = {r.place: r for r in risk.check_counts(found).collect()}
+    assert sorted(out) == list(range(1, 27))
+    for place, r in out.items():
+        of = [s for s in single if s.place == place]
+        shown = [s.actual for s in of if s.actual is not None]
+        assert (r.rule, r.n, r.failed) == (of[0].rule, len(rows), sum(not s.passed for s in of))
+        assert (r.least_actual, r.most_actual, r.kinds) == (min(shown, default=None), max(shown, default=None), len(set(shown)))
+    assert risk.check_counts(found.limit(0)).collect() == []
