@@ -2,7 +2,7 @@
 
 Aliases of all teams are one table. A text's word runs (up to the longest alias) and upper-case tokens are joined to it by equality, so no text meets every
 alias. Pairs of signalled teams meet events through time buckets: events outside the window all have the same score, so for
-them it is enough to know that the pair has some.
+them it is enough to know that the pair has some. Of those inside, each score's number and first event are enough.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ledgerlark.functions import text
 from ledgerlark.operators.matching import confidence, temporal_score
@@ -137,6 +136,20 @@ def near(pairs: DataFrame, events: DataFrame, hours: int) -> DataFrame:
     return asked.join(held, ["a", "b", "_bucket"]).withColumn("gap", gap).filter(F.col("gap") <= width).drop("_bucket")
 
 
+def tiers(asked: DataFrame, events: DataFrame, hours: int) -> DataFrame:
+    """a, b, at, from_close, tiers: for each pair and time that is asked for, the temporal scores of the events within the window, each with the
+    number of its events (n) and the first of them by id (event_id, gap).
+
+    Events of one score differ by their ids only. Events that start together are one row, and so are markets of one pair and time, so that
+    the work grows with the different times near each other and not with markets times events.
+    """
+    together = events.groupBy("a", "b", "starts_at").agg(F.min("event_id").alias("event_id"), F.count(F.lit(1)).alias("n"))
+    found = near(asked.select("a", "b", "at", "from_close").distinct(), together, hours)
+    of = found.groupBy("a", "b", "at", "from_close", temporal_score(F.col("gap"), F.col("from_close"), hours).alias("temporal"))
+    rows = of.agg(F.min(F.struct("event_id", "gap")).alias("e"), F.sum("n").alias("n"))
+    return rows.groupBy("a", "b", "at", "from_close").agg(F.collect_list(F.struct("temporal", "n", "e.event_id", "e.gap")).alias("tiers"))
+
+
 def match(markets: DataFrame, teams: DataFrame, events: DataFrame, fields: list[str], league: League = BASKETBALL, policy: Policy = Policy(), longest: int = 4) -> DataFrame:
     """market_id, status, method, reason, confidence, event_id, margin, signals, near_events: one outcome a market, by precedence.
 
@@ -148,14 +161,11 @@ def match(markets: DataFrame, teams: DataFrame, events: DataFrame, fields: list[
     known = pairs.join(games.select("a", "b").distinct(), ["a", "b"], "left_semi").join(rows.select("market_id", "at", "from_close"), "market_id")
     without_time = confidence(F.col("team_score"), F.lit(0))
     base = known.groupBy("market_id").agg(F.max(without_time).alias("base"))  # what events outside the window score
-    found = near(known, games, policy.window_hours)
-    found = found.withColumn("score", confidence(F.col("team_score"), temporal_score(F.col("gap"), F.col("from_close"), policy.window_hours)))
-    order = Window.partitionBy("market_id").orderBy(F.desc("score"), "event_id")
-    top = found.withColumn("n", F.row_number().over(order))
-    every = Window.partitionBy("market_id")
-    top = top.withColumn("near_events", F.count(F.lit(1)).over(every)).filter("n <= 2")
-    first = lambda c: F.max(F.when(F.col("n") == 1, F.col(c)))
-    best = top.groupBy("market_id").agg(first("event_id").alias("best_id"), first("score").alias("best"), first("gap").alias("gap"), F.max(F.when(F.col("n") == 2, F.col("score"))).alias("second"), F.max("near_events").alias("near_events"))
+    found = known.join(tiers(known, games, policy.window_hours), ["a", "b", "at", "from_close"]).select("market_id", "team_score", F.explode("tiers").alias("t"))
+    row = F.struct((-confidence(F.col("team_score"), F.col("t.temporal"))).alias("less"), "t.event_id", "t.gap", "t.n")
+    ranked = found.groupBy("market_id").agg(F.array_sort(F.collect_list(row)).alias("r"), F.sum("t.n").alias("near_events"))  # a few rows a pair of its teams
+    first, next_ = F.get("r", F.lit(0)), F.get("r", F.lit(1))
+    best = ranked.select("market_id", first["event_id"].alias("best_id"), (-first["less"]).alias("best"), first["gap"].alias("gap"), F.when(first["n"] > 1, -first["less"]).otherwise(-next_["less"]).alias("second"), "near_events")
     out = rows.select("market_id", "other_sport", "at", "from_close").join(counted, "market_id", "left").join(base, "market_id", "left").join(best, "market_id", "left")
     out = out.fillna(0, ["signals", "near_events"]).withColumn("margin", F.col("best") - F.col("second"))
     least, margin = (F.lit(x).cast("decimal(5,4)") for x in (policy.least, policy.margin))

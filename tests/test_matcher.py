@@ -89,3 +89,17 @@ def test_empty_tables(spark):
     rows = matcher.match(markets.filter("market_id = 0"), teams, events.limit(0), ["title"]).collect()
     assert [r.reason for r in rows] == ["no_team_pair_event"]
     assert [r.reason for r in matcher.match(markets.filter("market_id = 0"), teams.limit(0), events, ["title"]).collect()] == ["insufficient_team_evidence"]
+
+
+def test_events_that_start_together_are_one_row(spark):
+    at = [TIP + k * H for k in range(4)]
+    asked = spark.createDataFrame([(1, 2, t, False) for t in at for _ in range(50)], "a long, b long, at timestamp, from_close boolean")
+    events = spark.createDataFrame([(n, 1, 2, TIP + (n % 2) * 5 * H) for n in range(200)], "event_id long, a long, b long, starts_at timestamp")
+    found = {r["at"]: {t.temporal: (t.n, t.event_id, t.gap) for t in r.tiers} for r in matcher.tiers(asked, events, 36).collect()}
+    assert len(found) == 4  # not a row a market and event
+    assert found[at[0]] == {Decimal("1.0000"): (100, 0, 0), Decimal("0.8500"): (100, 1, 5 * 3600)}
+    assert found[at[2]] == {Decimal("1.0000"): (200, 0, 2 * 3600)}
+    markets, teams, _ = tables(spark)
+    many = events.selectExpr("event_id", "a as home", "b as away", "starts_at")
+    row = matcher.match(markets.filter("market_id = 0"), teams, many, ["title", "subtitle"]).collect()[0]
+    assert (row.reason, row.margin, row.near_events) == ("small_margin", 0, 200)
