@@ -31,6 +31,11 @@ def up(c: Column, scale: int) -> Column:
     return F.when(c < 0, -_scaled("ceil", -c, scale)).otherwise(_scaled("ceil", c, scale))
 
 
+def cents_of(c: Column) -> Column:
+    """A double in cents, by the value that it has: 19.115 lies below its half and is 19.11, where its digits as printed would give 19.12."""
+    return (F.round(c * 100).cast("decimal(18,0)") / 100).cast("decimal(18,2)")
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b; null where b is null or zero."""
     return a / F.nullif(b, F.lit(0).cast("int"))

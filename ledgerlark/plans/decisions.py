@@ -157,7 +157,7 @@ u AS (SELECT *, (ceil(round(total / nullif(quantity, 0) * 1000000, 4)) / 1000000
 SELECT l_orderkey, l_linenumber, l_partkey, price::DOUBLE AS price, quantity, total, unit::DOUBLE AS unit_cost, (p - unit)::DOUBLE AS adjusted_edge,
 CASE WHEN ask <= 0 OR ask >= 1 THEN 'ask_out_of_range' WHEN price >= 1 THEN 'price_not_below_one' WHEN quantity < 1 THEN 'less_than_one_contract' WHEN p - unit < 0.02 THEN 'edge_below_minimum' ELSE 'filled' END AS outcome FROM u""")
 def rul7_execution(t):
-    rows = _edges(t).withColumn("capital", (F.col("l_extendedprice") / 1000).cast("decimal(18,2)"))
+    rows = _edges(t).withColumn("capital", rounding.cents_of(F.col("l_extendedprice") / 1000))
     out = markets.execution(rows, "ask", "capital", "p", 50, "0.02", "0.02")
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "price", "quantity", "total", "unit_cost", "adjusted_edge", "outcome")
 
