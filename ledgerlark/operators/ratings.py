@@ -9,7 +9,9 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable
+from datetime import UTC, datetime
 from decimal import ROUND_HALF_UP, Context, Decimal, localcontext
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,21 +43,33 @@ def folded(games: DataFrame, order: list, fold: Callable[[], Callable], schema:
     return dealt.mapInArrow(run, schema)
 
 
+@lru_cache(maxsize=200_000)
+def chance(lead: Decimal, scale: Decimal) -> Decimal:
+    """The home side's, by its lead in rating, in EXACT's digits. Leads have four digits and recur, above all among games of one instant."""
+    with localcontext(EXACT):
+        return 1 / (1 + Decimal(10) ** (-lead / scale))
+
+
 def expectation(home: Decimal, away: Decimal, advantage: Decimal, scale: Decimal) -> Decimal:
-    return (1 / (1 + Decimal(10) ** (-(home + advantage - away) / scale))).quantize(Decimal("0.000001"))
+    return chance(home + advantage - away, scale).quantize(Decimal("0.000001"))
 
 
 # The names under which a game enters the rolling hash, and those of what became of it.
 BECAME = {"used": "processed", "tie": "skipped_tie", "incomplete": "skipped_incomplete"}
 
 
+_CANONICAL = json.JSONEncoder(sort_keys=True, separators=(",", ":"))
+
+
+@lru_cache(maxsize=16)
+def _in_utc(at: datetime) -> str:
+    return (at.astimezone(UTC) if at.tzinfo else at.replace(tzinfo=UTC)).isoformat()
+
+
 def game_line(game_id, starts, home, away, home_score, away_score, kind: str) -> bytes:
     """A game as canonical JSON (keys in order, no spaces, ids as text, the start in UTC) and a line end."""
-    from datetime import UTC
-
-    when = starts.astimezone(UTC) if starts.tzinfo else starts.replace(tzinfo=UTC)
-    game = {"event_id": str(game_id), "scheduled_start_time": when.isoformat(), "home_team_id": str(home), "away_team_id": str(away), "home_score": home_score, "away_score": away_score, "disposition": BECAME[kind]}
-    return json.dumps(game, sort_keys=True, separators=(",", ":")).encode() + b"\n"
+    game = {"event_id": str(game_id), "scheduled_start_time": _in_utc(starts), "home_team_id": str(home), "away_team_id": str(away), "home_score": home_score, "away_score": away_score, "disposition": BECAME[kind]}
+    return _CANONICAL.encode(game).encode() + b"\n"
 
 
 def replay(k: int = 20, advantage: int = 100, scale: int = 400, start: int = 1500) -> Callable:
@@ -87,8 +101,7 @@ def replay(k: int = 20, advantage: int = 100, scale: int = 400, start: int = 150
             hasher.update(game_line(game_id, starts, home, away, home_score, away_score, kind))
             if kind == "used":
                 h, a = (now.get(t, Decimal(start)) for t in (home, away))
-                exact = 1 / (1 + Decimal(10) ** (-(h + advantage - a) / Decimal(scale)))
-                move = k * (int(home_score > away_score) - exact)
+                move = k * (int(home_score > away_score) - chance(h + advantage - a, Decimal(scale)))
                 for team in (home, away):
                     then.setdefault(team, now.get(team, Decimal(start)))
                 now[home], now[away] = (h + move).quantize(four), (a - move).quantize(four)
