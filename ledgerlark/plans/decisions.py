@@ -319,8 +319,10 @@ def rul31_shadow_label(t):
 
 @R.add("""WITH x AS (SELECT o_orderkey, max(l_quantity) FILTER (l_linenumber % 2 = 0)::DECIMAL(18,2) AS h, max(l_quantity) FILTER (l_linenumber % 2 = 1)::DECIMAL(18,2) AS a FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) SELECT o_orderkey, (h - a)::DOUBLE AS quantity FROM x""")
 def rul29_side_differences(t):
-    rows = t("orders").join(t("lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderkey", F.when(F.col("l_linenumber") % 2 == 0, "home").otherwise("away").alias("side")).agg(F.max("l_quantity").cast("decimal(18,2)").alias("quantity"))
-    return profiles.side_differences(rows, "o_orderkey", "side", ["quantity"])
+    # lines are dealt by their order before they are grouped: a scan's task would hold a group for nearly every line that it reads
+    rows = t("lineitem").select("l_orderkey", F.when(F.col("l_linenumber") % 2 == 0, "home").otherwise("away").alias("side"), F.col("l_quantity").cast("decimal(18,2)").alias("quantity")).repartition("l_orderkey")
+    found = profiles.side_differences(rows, "l_orderkey", "side", ["quantity"]).withColumnRenamed("l_orderkey", "o_orderkey")
+    return found.join(t("orders").select("o_orderkey"), "o_orderkey", "left_semi")
 
 
 def _games(t):

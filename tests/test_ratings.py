@@ -82,3 +82,20 @@ def test_raises_on_repeated_games(spark):
         ratings.weekly_elo(games).collect()
     with pytest.raises(Exception, match="plays twice"):
         ratings.weekly_elo(games.filter("league = 'a'").withColumns({"week": F.lit(1).cast("long"), "game_id": (F.col("payout") + 5).cast("long")})).collect()
+
+
+def test_games_of_an_instant_share_their_chances():
+    from datetime import datetime
+
+    from ledgerlark.operators import ratings
+
+    step = ratings.replay()
+    ratings.chance.cache_clear()
+    for n in range(200):  # four pairs, and no result: no rating moves
+        step("l", n, datetime(2026, 1, 1 + n // 100), str(n % 4), "x", None, None)
+    assert ratings.chance.cache_info().misses == 1
+
+
+def test_lines_are_dealt_before_they_are_grouped(spark, sf_dir):
+    plan = QUERIES["rul29_side_differences"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("HashAggregate") == 2 and plan.rindex("HashAggregate") < plan.index("Exchange hashpartitioning(l_orderkey")
