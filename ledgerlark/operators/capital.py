@@ -93,12 +93,15 @@ class Sweep:
         return out
 
 
-def swept(rows: DataFrame, sizes: DataFrame, days: int = SLICE_DAYS, most: int = SLICED_ROWS) -> DataFrame:
-    """The rows that ask, with all their columns but asks, position, amount and until, and with authorized and duplicate.
+def swept(rows: DataFrame, sizes: DataFrame | None, days: int = SLICE_DAYS, most: int = SLICED_ROWS) -> DataFrame:
+    """The rows that ask: account, at, id and the columns that ROW lacks, with authorized and duplicate.
 
     rows: ROW, with instants in microseconds and amounts in cents, and any others. At one instant positions come first, then rows by their ids; what
     asks does so before a decision of its id. sizes: account, at (an instant): at least as many rows as the account's that ask; it only decides what is cut.
+    None: all rows of an account lie in one partition already, so they are neither dealt nor cut.
     """
+    if sizes is None:
+        return _folded(rows.withColumn("_slice", F.lit(None).cast("long")))
     slice_of = lambda c: F.floor(F.col(c) / (days * 86_400_000_000))
     large = sizes.groupBy("account").agg(F.count(F.lit(1)).alias("_n"), F.max(F.unix_micros(F.col("at").cast("timestamp"))).alias("_last")).filter(F.col("_n") > most)
     large = large.select("account", slice_of("_last").alias("_last"))  # at most one account for so many rows
@@ -109,11 +112,15 @@ def swept(rows: DataFrame, sizes: DataFrame, days: int = SLICE_DAYS, most: int =
     dealt = rows.join(F.broadcast(large), "account", "left").withColumn("_slices", cut).select(*ROW, *more, F.explode("_slices").alias("_slice"))
     asks = F.col("asks") & (F.col("_slice").isNull() | (F.col("_slice") == slice_of("at")))
     dealt = dealt.select(*[c for c in ROW if c != "asks"], asks.alias("asks"), "_slice", *more)
-    order = ["account", "_slice", "at", F.desc("position"), "id", F.desc("asks")]
-    dealt = dealt.repartition("account", "_slice").sortWithinPartitions(*order)
+    return _folded(dealt.repartition("account", "_slice"))
+
+
+def _folded(dealt: DataFrame) -> DataFrame:
+    """See swept(). All rows of an account and slice lie in one partition."""
+    more = [c for c in dealt.columns if c not in ROW and c != "_slice"]
+    dealt = dealt.sortWithinPartitions("account", "_slice", "at", F.desc("position"), "id", F.desc("asks"))
     taken = ["account", "snapshot", "proposal", "market", "direction", "team", "at", "asks", "position", "amount", "until"]
-    gone = {"asks", "position", "amount", "until"}
-    kept = [c for c in (*ROW, *more) if c not in gone]
+    kept = ["account", "at", "id", *more]
     schema = T.StructType([dealt.schema[c] for c in kept]).add("_cents", "decimal(28,0)").add("duplicate", "boolean")
 
     def run(batches):
@@ -168,10 +175,11 @@ def authorized(requests: DataFrame, decisions: DataFrame, used: DataFrame, posit
     return found.select(F.col("id").alias("request_id"), "authorized", "duplicate")
 
 
-def authorized_as_made(made: DataFrame, more: list[str], sizes: DataFrame, days: int = SLICE_DAYS, most: int = SLICED_ROWS) -> DataFrame:
+def authorized_as_made(made: DataFrame, more: list[str], sizes: DataFrame | None, days: int = SLICE_DAYS, most: int = SLICED_ROWS) -> DataFrame:
     """authorized() where every decision is asked for when it is made: request_id, account, evaluated_at, authorized, duplicate and the columns in more.
 
-    made: the columns of decisions with used_at (null: not used) and closed_at of the position that a use opens (null: open). Each row is dealt once.
+    made: the columns of decisions with used_at (null: not used) and closed_at of the position that a use opens (null: open). Each row is dealt once,
+    or not at all where sizes is None: see swept().
     """
     whole = ["account", "snapshot", "proposal", "market", "direction", "team"]
     until = F.when(F.col("valid_until").isNotNull(), F.least(micros("valid_until"), micros("used_at")))

@@ -107,9 +107,11 @@ def rules(policy: Policy = Policy()) -> list[tuple[str, Column, Column, Column,
 
 def evaluated(proposals: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """proposals with checks (an array of CHECK), failed, decision, band, primary_reason, remaining and valid_until (none for rejections)."""
-    found = [F.struct(F.lit(rule).alias("rule"), F.coalesce(passed, F.lit(False)).alias("passed"), actual.alias("actual"), expected.alias("expected"), F.lit(detail).alias("detail")) for rule, passed, actual, expected, detail in rules(policy)]
-    rows = proposals.withColumn("checks", F.array(*found))
-    rows = rows.withColumn("failed", F.transform(F.filter("checks", lambda c: ~c["passed"]), lambda c: c["rule"]))
+    listed = [(rule, F.coalesce(passed, F.lit(False)), actual, expected, detail) for rule, passed, actual, expected, detail in rules(policy)]
+    found = [F.struct(F.lit(rule).alias("rule"), passed.alias("passed"), actual.alias("actual"), expected.alias("expected"), F.lit(detail).alias("detail")) for rule, passed, actual, expected, detail in listed]
+    # failed is not drawn from checks, so that plans which want no checks need not write down what was found
+    failed = F.array_compact(F.array(*[F.when(~passed, rule) for rule, passed, *_ in listed]))
+    rows = proposals.withColumns({"checks": F.array(*found), "failed": failed})
     fixed = lambda x: F.lit(x).cast("decimal(8,6)")
     share, bad = F.col("exposure"), F.size("failed") > 0
     kinds = (
