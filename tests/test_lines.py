@@ -106,3 +106,8 @@ def test_money_comes_back(spark, total, balance):
     rows = gates.purchased(tables.get, packing.pack(tables["lineitem"]), packing)
     found = packing.unpacked(rows, ["l_orderkey"]).select("l_orderkey", gates.F.col("_money").isNotNull(), gates.F.inline(gates.bought_again()))
     assert sorted(map(tuple, found.collect())) == sorted([(5, True, total, balance), (6, False, total, balance), (6, False, 0.125, balance)])
+
+
+def test_many_customers_match_sql(spark, odd_dir, monkeypatch):
+    monkeypatch.setattr(gates, "SMALL_CUSTOMERS", 0)
+    compare(spark, odd_dir, gates.R.queries["rul7_entry"], gates.R.sql["rul7_entry"])
