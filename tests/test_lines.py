@@ -1,6 +1,7 @@
 """Packed lines come back as they were, and the gates' queries deal them packed, each a few times, with the results of their SQL on odd tables too."""
 
 import math
+import re
 from datetime import datetime
 from pathlib import Path
 
@@ -111,3 +112,20 @@ def test_money_comes_back(spark, total, balance):
 def test_many_customers_match_sql(spark, odd_dir, monkeypatch):
     monkeypatch.setattr(gates, "SMALL_CUSTOMERS", 0)
     compare(spark, odd_dir, gates.R.queries["rul7_entry"], gates.R.sql["rul7_entry"])
+
+
+@pytest.mark.parametrize("rows", [500_000, 1])
+def test_risk_checks_of_odd_tables_match_sql(spark, odd_dir, monkeypatch, rows):
+    monkeypatch.setattr(gates.risk, "BLOCK_ROWS", rows)
+    compare(spark, odd_dir, gates.R.queries["nst8_risk_checks"], gates.R.sql["nst8_risk_checks"])
+
+
+@pytest.mark.parametrize("name", ["rul4_risk_gate", "rul7_entry", "nst8_risk_checks"])
+def test_no_method_is_too_long_to_be_compiled(spark, sf_dir, name):
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        code = debug.codegenString(gates.R.queries[name](spark, sf_dir)._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert 0 < max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", code))) <= 8000

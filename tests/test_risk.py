@@ -1,8 +1,13 @@
 """The risk gate: one proposal that passes everything, and for each check a proposal that fails it; bounds of exposure and age; what a check row shows."""
 
+import zlib
+from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 from decimal import Decimal
 
+import numpy as np
+import pyarrow as pa
+
 from ledgerlark.operators import risk
 
 NOW = datetime(2026, 1, 1, 12, 0, 7)
@@ -113,3 +118,33 @@ def test_check_counts_are_those_of_the_check_rows(spark):
         assert (r.rule, r.n, r.failed) == (of[0].rule, len(rows), sum(not s.passed for s in of))
         assert (r.least_actual, r.most_actual, r.kinds) == (min(shown, default=None), max(shown, default=None), len(set(shown)))
     assert risk.check_counts(found.limit(0)).collect() == []
+
+
+def test_different_values_are_counted_by_what_is_dealt():
+    parts = [[-5, 3, 3, 1 << 62, -(1 << 63), 0], [3, 4, 5, 1 << 62], list(range(0, 200_000, 7))]
+    rows = [r for p in parts for r in risk._dealt(1, np.array(p, np.int64).view(np.uint64), None)]
+    pairs = [([7, 7, 7, 1 << 63, 8], [1, 2, 1, 0, 5]), ([7, 8, 9], [2, 6, 5])]
+    rows += [r for k, t in pairs for r in risk._dealt(1, np.array(k, np.uint64), np.array(t, np.uint32))]
+    names = [c.split()[0] for c in risk.SEEN.split(", ")]
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r[:3]].append(r)
+    kinds = Counter()
+    for (_, form, _), group in groups.items():
+        out = risk._counted(pa.table({n: pa.array(c, pa.string() if n in ("least", "most") else None) for n, c in zip(names, zip(*group, strict=True), strict=True)}))
+        kinds[form] += out["kinds"][0].as_py()
+    assert kinds == {risk.NUMBERS: len({v for p in parts for v in p}), risk.DIGESTS: len({p for k, t in pairs for p in zip(k, t, strict=True)})}
+
+
+def test_numbers_near_each_other_are_dealt_in_few_bytes():
+    rows = list(risk._dealt(1, np.arange(0, 10_000_000, 10, dtype=np.uint64), None))
+    assert len({r[2] for r in rows}) > 200 and sum(r[3] for r in rows) == 1_000_000
+    assert len(zlib.compress(b"".join(r[8] for r in rows), 1)) < 200_000
+
+
+def test_nulls_and_other_policies_are_counted(spark):
+    rows = frame(spark, [{"source_price": None}, {"source_price": None}, {"proposal_available": None}, {"price_at": NOW - timedelta(seconds=99)}, {}])
+    out = {r.rule: r for r in risk.check_counts(rows, risk.Policy(price_seconds=70)).collect()}
+    assert (out["current_market_price"].failed, out["current_market_price"].most_actual, out["current_market_price"].kinds) == (2, "none", 2)
+    assert (out["proposal_balance_matches_snapshot"].failed, out["proposal_balance_matches_snapshot"].kinds) == (1, 2)
+    assert (out["fresh_market_price"].failed, out["fresh_market_price"].least_actual, out["fresh_market_price"].kinds) == (1, "60", 2)
