@@ -214,9 +214,10 @@ class _Block:
     def add(self, batch: pa.RecordBatch) -> None:
         self.n += batch.num_rows
         wrong, hashes = _longs(batch.column("wrong")), _longs(batch.column("hashes").flatten()).reshape(batch.num_rows, -1)
+        texts = batch.column("texts").flatten()
         for i in range(len(self.names)):
             self.failed[i] += int((wrong >> np.uint64(i) & np.uint64(1)).sum())
-            ends = pc.min_max(batch.column(f"a{i}"))
+            ends = pc.min_max(texts.take(pa.array(np.arange(i, len(texts), len(self.names)))))
             self.ends[i] += [ends["min"].as_py(), ends["max"].as_py()]
         for i in self.numbers:
             column = batch.column(f"n{i}")
@@ -277,7 +278,7 @@ def check_counts(proposals: DataFrame, policy: Policy = Policy()) -> DataFrame:
     hashes = F.array(*[h for i in digests for h in (F.xxhash64(texts[i]), F.xxhash64(F.lit(1), texts[i]))])
     # Spark keeps a select with a lambda out of whole-stage code and cuts its code into methods: all checks in one are longer than the 8000 bytes that the JVM compiles
     cut = F.transform(F.array("duplicate"), lambda d: d)
-    shown = proposals.select(cut.alias("cut"), wrong.alias("wrong"), hashes.alias("hashes"), *[text.alias(f"a{i}") for i, text in enumerate(texts)], *as_number)
+    shown = proposals.select(cut.alias("cut"), wrong.alias("wrong"), hashes.alias("hashes"), F.array(*texts).alias("texts"), *as_number)
     parts = shown.mapInArrow(run, SEEN).groupBy("place", "form", "bucket").applyInArrow(_counted, "place long, n long, failed long, least string, most string, kinds long")
     rule = F.get(F.array(*map(F.lit, names)), (F.col("place") - 1).cast("int")).alias("rule")
     return parts.groupBy("place").agg(F.sum("n").alias("n"), F.sum("failed").alias("failed"), F.min("least").alias("least_actual"), F.max("most").alias("most_actual"), F.sum("kinds").alias("kinds")).select("place", rule, "n", "failed", "least_actual", "most_actual", "kinds")
